@@ -59,7 +59,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text: numpy needs some 60 bytes for each."""
     for batch in batches:
         _, at = texts(batch.column(text))
