@@ -125,6 +125,12 @@ def matches(data: np.ndarray, offsets: np.ndarray, b: Pieces) -> list[tuple[int,
     diagonal = np.repeat(hit, times) - b.place[which] + int(b.length.max())  # never negative
     half = b.edits[piece] + 1
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    order = np.lexsort((diagonal, piece, document))  # all q-grams of a piece on one diagonal: the piece itself, without edits
+    d, p, k = document[order], piece[order], diagonal[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (k[1:] != k[:-1])])) if len(d) else np.zeros(0, np.int64)
+    for i in new[np.diff(np.append(new, len(d))) == b.length[p[new]] - b.q + 1]:
+        start = int(k[i]) - int(b.length.max()) - int(offsets[d[i]])
+        found.setdefault((int(d[i]), int(p[i])), (start, start + int(b.length[p[i]]), 0))
     for over in (0, 1):
         band = (diagonal + over * half) // (2 * half)
         order = np.lexsort((band, piece, document))
@@ -133,6 +139,8 @@ def matches(data: np.ndarray, offsets: np.ndarray, b: Pieces) -> list[tuple[int,
         count = np.diff(np.append(new, len(d)))
         for i in new[count >= b.bound[p[new]]]:
             at, own = int(d[i]), int(p[i])
+            if found.get((at, own), (0, 0, 1))[2] == 0:
+                continue
             e, m = int(b.edits[own]), int(b.length[own])
             low = int(k[i]) * 2 * (e + 1) - over * (e + 1) - int(b.length.max())  # the band's first diagonal
             a, z = max(int(offsets[at]), low - e), min(int(offsets[at + 1]), low + 3 * e + 2 + m)
