@@ -187,4 +187,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, piece: int = 80, rate:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which nothing of the benchmark was found."""
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return shared.without(docs, "doc_id", shared.settle(contamination(docs, benchmark).select("doc_id").distinct(), "contaminated"))

@@ -244,3 +244,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared.tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(shipped), _PREDICTED)
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text is not rejected."""
+    shared.tune(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    predict = _predict(shipped)
+
+    def keep(batches):
+        for batch in pieces(batches):
+            (found,) = predict(iter([batch]))
+            yield batch.filter(pa.array(~found.column("rejected").to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -56,11 +56,11 @@ def _slot(key: str):
     return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
 
 
-def may_contain(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def may_contain(rows: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
     """The rows whose key may be in `wanted` (a table with a column of that name).
 
     A bitmap of BITMAP_BITS bits (4 MB, whatever the size of the data) is broadcast. Rows outside
-    `wanted` can pass, so an exact join has to follow; rows in `wanted` always pass.
+    `wanted` can pass, so an exact join has to follow; rows in `wanted` always pass. `others`: the rest instead.
     """
     maps = (
         wanted.select(_slot(key).alias("_s"))
@@ -70,7 +70,26 @@ def may_contain(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     slot = _slot(key)
     byte = F.conv(F.hex(F.substring("_m", F.floor((slot % _BITS_PER_ROW) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("getbit", byte, (slot % 8).cast("int")) == 1
-    return rows.join(F.broadcast(maps), F.floor(slot / _BITS_PER_ROW) == F.col("_b")).where(bit).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.join(F.broadcast(maps), F.floor(slot / _BITS_PER_ROW) == F.col("_b"), "left").where(F.coalesce(bit, F.lit(False)) != F.lit(others)).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not in `dropped`; only rows that may be dropped are shuffled."""
+    dropped = dropped.select(key).distinct()
+    return may_contain(rows, key, dropped, others=True).unionByName(may_contain(rows, key, dropped).join(dropped, key, "left_anti").select(*rows.columns))
+
+
+def recurring(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` (a stored table) restricted to keys that occur more than once, and those keys with their counts (`times`).
+
+    Counts are combined before the shuffle. Keys that hold over a thousandth of what is counted are at most a
+    thousand; they are broadcast, and their rows never shuffled by key. The rest has no heavy key left.
+    """
+    times = settle(rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1"), name)
+    all_ = times.agg(F.sum("times")).first()[0] or 0
+    heavy, light = times.where(F.col("times") > all_ / 1000), times.where(F.col("times") <= all_ / 1000)
+    kept = rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(light, key))
+    return kept, times
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:

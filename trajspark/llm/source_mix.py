@@ -95,21 +95,29 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return [{to[a] - P: left[a ^ 1] for a in out[p] if P <= to[a] < P + S and left[a ^ 1]} for p in range(P)]
 
 
-def _measured(batches):
-    for batch in pieces(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sources"), pa.array(Words(batch.column("text")).counts)], names=["doc_id", "sources", "size"])
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """Add the place in the seeded order: key, and its first bits as bucket."""
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return rows.withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("bucket", F.expr("shiftright(key, 48)"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
-    """doc_id, sources, size, copies, taken, pattern_words, and targets (a map by source, null as its own key 'null?') of every document.
-
-    `docs` has doc_id, text and either `sources` (an array) or `source`.
-    """
-    spark = docs.sparkSession
-    shared.tune(spark)
+def sized(docs: DataFrame) -> DataFrame:
+    """The rows with sources (an array, from `sources` or `source`) and size (words of text) added."""
     sources = F.array_sort(F.array_distinct("sources")) if "sources" in docs.columns else F.array(F.col("source").cast("string"))
-    rows = docs.select(F.col("doc_id").cast("long"), sources.alias("sources"), F.col("text").cast("string"))
-    rows = shared.settle(rows.mapInArrow(_measured, "doc_id long, sources array<string>, size long"), "sizes")
+    rows = docs.withColumn("sources", sources).withColumn("size", F.lit(0).cast("long"))
+
+    def measure(batches):
+        for batch in pieces(batches):
+            yield batch.set_column(batch.schema.get_field_index("size"), "size", pa.array(Words(batch.column("text")).counts))
+
+    return rows.mapInArrow(measure, rows.schema)
+
+
+def mix_plan(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+    """For each membership pattern in `rows` (doc_id, sources, size): base copies, the last document in the seeded order to
+    get one more, and the sizes and targets of its sources. A row a pattern."""
+    spark = rows.sparkSession
+    schema = "sources array<string>, base long, extra long, targets array<double>, source_sizes array<long>"
     found = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
@@ -118,30 +126,77 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     for pattern, words in found:
         for s in pattern:
             sizes[s] = sizes.get(s, 0) + words
-    goal = targets(sizes, sum(w for _, w in found), weights, share, repeats) if sizes else {}
-    names = list(goal)
-    flow = min_cost_flow([w for _, w in found], [[names.index(s) for s in p] for p, _ in found], [int(goal[s]) for s in names], repeats)
-
+    goal = targets(sizes, sum(w for _, w in found), weights, share, repeats)
+    names = {s: i for i, s in enumerate(goal)}
+    flow = min_cost_flow([w for _, w in found], [[names[s] for s in p] for p, _ in found], [int(goal[s]) for s in names], repeats)
     plan = []
     for (pattern, words), sent in zip(found, flow):
-        used = sum(sent.values())
-        base, extra = divmod(used, words) if words else (0, 0)
-        plan.append((list(pattern), words, base, extra, [float(goal[s]) for s in pattern], [sizes[s] for s in pattern]))
-    plan = F.broadcast(spark.createDataFrame(plan, "sources array<string>, pattern_words long, base long, extra long, targets array<double>, source_sizes array<long>")) if plan else None
-    if plan is None:
-        return rows.select("doc_id", "sources", "size", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<double>").alias("targets"), F.array().cast("array<long>").alias("source_sizes"))
-    key = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("key", key).withColumn("bucket", F.expr("shiftright(key, 48)"))
-    same = F.expr("sources <=> pattern")
-    sums = rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words"))
+        base, extra = divmod(sum(sent.values()), words) if words else (0, 0)
+        plan.append((list(pattern), base, extra, [float(goal[s]) for s in pattern], [sizes[s] for s in pattern]))
+    plan = spark.createDataFrame(plan, schema) if plan else spark.createDataFrame([], schema)
+    rows = _placed(rows, seed)
     order = Window.partitionBy("sources").orderBy("bucket")
-    sums = sums.withColumn("until", F.sum("words").over(order)).join(plan.withColumnRenamed("sources", "pattern"), same)
-    cut = sums.where("until > extra").groupBy("sources").agg(F.min_by(F.struct("bucket", (F.col("until") - F.col("words")).alias("before")), "bucket").alias("cut"))
-    plan = plan.withColumnRenamed("sources", "pattern")
-    rows = rows.join(plan, same).drop("pattern").join(F.broadcast(cut.withColumnRenamed("sources", "pattern")), same, "left").drop("pattern")
-    at_cut = F.col("cut").isNotNull() & (F.col("bucket") == F.col("cut.bucket"))
-    away = rows.where(~at_cut).withColumn("more", (F.col("cut").isNotNull() & (F.col("bucket") < F.col("cut.bucket"))).cast("long"))
+    sums = rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(order))
+    cut = sums.join(F.broadcast(plan), "sources").where("until > extra").groupBy("sources", "extra").agg(F.min_by(F.struct("bucket", (F.col("until") - F.col("words")).alias("before")), "bucket").alias("cut"))
+    cut = cut.select("sources", "extra", "cut.bucket", "cut.before")
     inner = Window.partitionBy("sources").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = rows.where(at_cut).withColumn("until", F.col("cut.before") + F.sum("size").over(inner)).withColumn("more", (2 * F.col("until") - F.col("size") <= 2 * F.col("extra")).cast("long")).drop("until")
-    out = away.unionByName(at).withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)))
-    return out.select("doc_id", "sources", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "targets", "source_sizes")
+    at = rows.join(F.broadcast(cut), ["sources", "bucket"]).withColumn("until", F.col("before") + F.sum("size").over(inner))
+    fits = F.when(2 * F.col("until") - F.col("size") <= 2 * F.col("extra"), F.struct("key", "doc_id", "size"))
+    # where nothing of the bucket fits, what lies before the bucket does
+    last = at.groupBy("sources", "bucket").agg(F.max(fits).alias("last")).select("sources", F.coalesce("last", F.struct(F.expr("shiftleft(bucket, 48) - 1").alias("key"), F.lit(9223372036854775807).alias("doc_id"), F.lit(9223372036854775807).alias("size"))).alias("last"))
+    return shared.settle(plan.join(last, "sources", "left"), "mix")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
+    """Add copies, taken, targets and source_sizes to `rows` (doc_id, sources, size and any others)."""
+    plan = F.broadcast(plan.withColumnRenamed("sources", "_pattern"))
+    more = F.coalesce(F.struct("key", "doc_id", "size") <= F.col("last"), F.lit(False)).cast("long")
+    out = _placed(rows, seed).join(plan, F.expr("sources <=> _pattern"), "left")
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.coalesce("base", F.lit(0)) + more).otherwise(F.lit(0).cast("long")))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "bucket", "base", "extra", "last", "_pattern")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+    """doc_id, sources, size, copies, taken, targets and source_sizes (by source of `sources`) of every document of `docs` (doc_id, text, source or sources)."""
+    shared.tune(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "sources" if "sources" in docs.columns else "source")
+    rows = shared.settle(sized(slim).select("doc_id", "sources", "size"), "sizes")
+    return with_copies(rows, mix_plan(rows, weights, share, repeats, seed), seed)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+    """The documents of the mix with all their columns, each as many times as it is taken."""
+    shared.tune(docs.sparkSession)
+    rows = sized(docs)
+    plan = mix_plan(shared.settle(rows.select("doc_id", "sources", "size"), "sizes"), weights, share, repeats, seed)
+    return with_copies(rows, plan, seed).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+
+
+# The digest of the query in DuckDB's SQL. Each document has one source, so the flow gives each source its target.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':17'), 1, 15) AS BIGINT) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS words,
+    CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source
+), level AS (
+  SELECT *, 2 * words AS cap, 2.0::DOUBLE * words / w AS r,
+    coalesce(sum(2 * words) OVER before, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_, sum(words) OVER () AS total
+  FROM s WINDOW before AS (ORDER BY 2.0::DOUBLE * words / w, source COLLATE "C" NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), pick AS (
+  SELECT arg_min((1.5::DOUBLE * total - full_) / open_, r) FILTER ((1.5::DOUBLE * total - full_) / open_ <= r) AS l FROM level
+), t AS (
+  SELECT source, words, least(CAST(cap AS DOUBLE), CASE WHEN l IS NULL THEN CAST(cap AS DOUBLE) ELSE l * w END) AS target FROM level, pick
+), q AS (
+  SELECT *, CASE WHEN words > 0 THEN CAST(floor(target) AS BIGINT) // words ELSE 0 END AS base, CASE WHEN words > 0 THEN CAST(floor(target) AS BIGINT) % words ELSE 0 END AS extra FROM t
+), r AS (
+  SELECT doc_id, size, words AS source_size, target, base, extra,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS until
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (base + CASE WHEN 2 * until - size <= 2 * extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
