@@ -15,7 +15,7 @@ DIRECTION = r"(?i)^scroll[\s_\-]*(up|down|left|right)$"
 
 
 def action(**fields: Column) -> Column:
-    return F.struct(*[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()])
+    return F.named_struct(*[x for k, t in FIELDS.items() for x in (F.lit(k), fields.get(k, F.lit(None)).cast(t))])
 
 
 def with_fields(a: Column, **fields: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,8 +151,6 @@ def balanced_object(text: str | None) -> str | None:
 
 def first_json_balanced(text: Column) -> Column:
     """balanced_object() of each row, in Arrow batches; no built-in expression counts braces and tests JSON."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def scan(s: pd.Series) -> pd.Series:
         return s.map(balanced_object)

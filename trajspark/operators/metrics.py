@@ -37,7 +37,7 @@ def confusion_wide(rows: DataFrame, types: list[str]) -> DataFrame:
 
 def grid(rows: DataFrame, granularities: list[str]) -> DataFrame:
     """correct and n by action and granularity."""
-    return rows.groupBy("gt_type").pivot("granularity", granularities).agg(count_if(F.col("ok")).alias("correct"), F.count("*").alias("n")).na.fill(0)
+    return rows.groupBy("gt_type").pivot("granularity", granularities).agg(count_if(F.col("ok")).alias("correct"), F.count(F.lit(1)).alias("n")).na.fill(0)
 
 
 def reachability(rows: DataFrame, reachable: Column, eligible: Column) -> DataFrame:

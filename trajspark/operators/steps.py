@@ -19,7 +19,7 @@ def explode_steps(episodes: DataFrame) -> DataFrame:
     real = with_steps.select("*", F.posexplode("actions").alias("step_index", "raw"))
     screen = F.get("screens", F.col("step_index"))
     told = F.when(F.col("step_index") < F.size("step_instructions"), F.get("step_instructions", F.col("step_index"))).otherwise(F.col("goal"))
-    fan = lambda a, b: F.explode(F.array(*[F.struct(F.lit(g).alias("granularity"), i.alias("instruction")) for g, i in (("goal", a), ("step_instruction", b))]))
+    fan = lambda a, b: F.explode(F.array(*[F.named_struct(F.lit("granularity"), F.lit(g), F.lit("instruction"), i) for g, i in (("goal", a), ("step_instruction", b))]))
     keep = ["episode_id", "goal", "step_index", "total_steps", "image", "action", "g.granularity", "g.instruction"]
     real = real.select("*", n.alias("total_steps"), screen["path"].alias("image"), actions.from_mirror(F.col("raw"), screen["w"], screen["h"]).alias("action"), fan(F.col("goal"), told).alias("g")).select(*keep)
     last = with_steps.where((F.size("screens") > n) & F.get("screens", n)["path"].isNotNull())
