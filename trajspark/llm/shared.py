@@ -79,17 +79,16 @@ def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     return may_contain(rows, key, dropped, others=True).unionByName(may_contain(rows, key, dropped).join(dropped, key, "left_anti").select(*rows.columns))
 
 
-def recurring(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """`rows` (a stored table) restricted to keys that occur more than once, and those keys with their counts (`times`).
+def recurring(rows: DataFrame, key: str, name: str, *more) -> DataFrame:
+    """`rows` restricted to keys that occur more than once, with how often (`times`) and the further aggregates of each key.
 
     Counts are combined before the shuffle. Keys that hold over a thousandth of what is counted are at most a
     thousand; they are broadcast, and their rows never shuffled by key. The rest has no heavy key left.
     """
-    times = settle(rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1"), name)
+    times = settle(rows.groupBy(key).agg(F.count("*").alias("times"), *more).where("times > 1"), name)
     all_ = times.agg(F.sum("times")).first()[0] or 0
     heavy, light = times.where(F.col("times") > all_ / 1000), times.where(F.col("times") <= all_ / 1000)
-    kept = rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(light, key))
-    return kept, times
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:

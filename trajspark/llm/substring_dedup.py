@@ -131,15 +131,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
     classes = shared.settle(classes, "classes")
 
     planted = classes.select("node", F.explode("seeds").alias("seed"))
-    again = planted.groupBy("seed").agg(F.count("*").alias("times")).where("times > 1").select("seed")
-    recurring = planted.join(again, "seed").groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("seed").alias("seeds"))
+    recurring = shared.recurring(planted, "seed", "seed-counts").groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("seed").alias("seeds"))
     recurring = shared.settle(recurring, "recurring")
     text = shared.may_contain(docs, "doc_id", recurring)
     windows = text.join(recurring, "doc_id").select("doc_id", "text", "seeds").mapInArrow(lambda b: _extended(b, window, seed), "doc_id long, starts array<int>, hashes array<long>")
     windows = shared.settle(windows, "windows").select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
-    twice = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     single = classes.where("copies = 1").select(F.col("node").alias("doc_id"))
-    repeats = windows.join(twice, "hash").groupBy("doc_id").agg(F.collect_list("start").alias("starts")).join(single, "doc_id")
+    repeats = shared.recurring(windows, "hash", "window-counts").groupBy("doc_id").agg(F.collect_list("start").alias("starts")).join(single, "doc_id")
     repeats = shared.settle(repeats, "repeats")
     cut = shared.may_contain(docs, "doc_id", repeats).join(repeats, "doc_id").select("doc_id", "text", "starts").mapInArrow(lambda b: _kept(b, window), "doc_id long, n_removed long, kept string")
     cut = cut.select(F.col("doc_id").alias("node"), "n_removed", "kept", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
