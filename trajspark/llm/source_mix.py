@@ -167,15 +167,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
     """The documents of the mix with all their columns, each as many times as it is taken."""
     shared.tune(docs.sparkSession)
-    rows = sized(docs)
+    source = "sources" if "sources" in docs.columns else "source"
+    rows = sized(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), source))
     plan = mix_plan(shared.settle(rows.select("doc_id", "sources", "size"), "sizes"), weights, share, repeats, seed)
-    return with_copies(rows, plan, seed).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    return with_copies(rows, plan, seed).where("copies > 0").select("_row", F.explode(F.expr("sequence(1L, copies)"))).select("_row.*")
 
 
 # The digest of the query in DuckDB's SQL. Each document has one source, so the flow gives each source its target.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
     CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':17'), 1, 15) AS BIGINT) AS key
   FROM documents
 ), s AS (

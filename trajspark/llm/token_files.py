@@ -8,8 +8,10 @@ filter on doc_id fetch only some pages, and a reader of metadata skip the ids.
 Documents are range-partitioned by doc_id and sorted, so files follow each other in ascending order. No total
 order is made in one task: a file's base is the sum of the ids in the files before it.
 
-A text is encoded word by word (runs without white space), each distinct word once per cache: the tokenizer used
-splits at white space and drops it, and its normaliser works on each word alone, so the ids are those of the whole text.
+A text is encoded piece by piece, each distinct piece once per cache. The tokenizer used splits at white space and drops it, and between
+letters and other characters, and lower-cases, so pieces are words in lower case, cut further where an ASCII letter meets another ASCII
+character that is no apostrophe. The ids are those of the whole text; a batch of texts that holds "<|", with which special tokens begin, is
+encoded by whole words as they are.
 
 Defined cases: null counts as empty and gives the end id alone. Rows with equal ids are ordered by text. Other columns
 are ignored. An empty table gives empty files and no rows. Words are told apart by 64-bit hashes.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import Words, pieces
+from .words import LOWER, SEPARATOR, Words, pieces
 
 _SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
@@ -34,7 +36,7 @@ _SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 class WordEncoder:
     """Ids of words, with a cache of at most `most` distinct words in sorted arrays."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,6 +46,20 @@ class WordEncoder:
     def _clear(self):
         self.keys, self.at, self.size, self.pool, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
 
+    def cut(self, column: pa.Array) -> Words:
+        """The pieces of texts, as words."""
+        w = Words(column)
+        d = w.data
+        if ((d[:-1] == 60) & (d[1:] == 124)).any():
+            return w
+        w.data = d = LOWER[d]
+        letter, plain = (d >= 97) & (d <= 122), (d < 128) & (d != 39) & ~SEPARATOR[d]
+        inner = np.flatnonzero((letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]) + 1
+        inner = inner[~np.isin(inner, w.offsets)]
+        w.starts, w.ends = np.sort(np.concatenate([w.starts, inner])), np.sort(np.concatenate([w.ends, inner]))
+        w.first = np.searchsorted(w.starts, w.offsets)
+        return w
+
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents of w, and where each document's begin and end."""
         keys, example, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
@@ -80,7 +96,7 @@ def _encode(path: str, end_id: int):
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         for batch in pieces(batches):
-            ids, cut = _encoders[path].encode(Words(batch.column("text")))
+            ids, cut = _encoders[path].encode(_encoders[path].cut(batch.column("text")))
             ids = np.insert(ids, cut[1:], end_id)
             cut = cut + np.arange(len(cut))
             size = np.diff(cut)
