@@ -109,8 +109,8 @@ def messages(user: Column, assistant: Column) -> Column:
 
 
 def quoted(c: Column) -> Column:
-    """A JSON string: quotes, backslashes and control characters escaped, everything else kept."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    """A JSON string, null for null: quotes, backslashes and control characters escaped, everything else kept."""
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
 
 
 def json_object(pairs: list[tuple[str, Column]]) -> Column:
