@@ -33,7 +33,7 @@ ORDER = 5
 SAMPLE_DOCS = 1200
 SAMPLE_CHARS = 2500
 MOST_LANGUAGES = 200
-REJECT_SIGMAS = 8.0
+REJECT_SIGMAS = 12.0
 SHARPNESS = 8.0
 _B = 0x9E3779B97F4A7C15
 _space = ord(" ")

@@ -7,6 +7,7 @@ words get the same one with a probability of 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text: numpy needs some 60 bytes for each."""
     for batch in batches:
         _, at = texts(batch.column(text))
@@ -68,6 +69,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    _release()
+
+
+def _release() -> None:
+    """Hand freed memory back at a task's end: workers live on, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not glibc
 
 
 class Words:
