@@ -10,7 +10,7 @@ order is made in one task: a file's base is the sum of the ids in the files befo
 
 A text is encoded piece by piece, each distinct piece once per cache. The tokenizer used splits at white space and drops it, and between
 letters and other characters, and lower-cases, so pieces are words in lower case, cut further where an ASCII letter meets another ASCII
-character that is no apostrophe. The ids are those of the whole text; a batch of texts that holds "<|", with which special tokens begin, is
+character that is no apostrophe, and where a letter from U+00C0 to U+00FF is followed by an ASCII character that is neither. The ids are those of the whole text; a batch of texts that holds "<|", with which special tokens begin, is
 encoded by whole words as they are.
 
 Defined cases: null counts as empty and gives the end id alone. Rows with equal ids are ordered by text. Other columns
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,23 @@ _SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
 
 class WordEncoder:
-    """Ids of words, with a cache of at most `most` distinct words in sorted arrays."""
+    """Ids of words, with a cache of at most `most` distinct words: a hash table with linear probing, kept at most half full."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.slots = 1 << (2 * most - 1).bit_length()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token ends a run of letters: such runs can share a call, and be told apart after it.
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
-        self.keys, self.at, self.size, self.pool, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        self.keys, self.entry, self.count = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32), 0
+        self.at, self.size, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
 
     def cut(self, column: pa.Array) -> Words:
         """The pieces of texts, as words."""
@@ -54,37 +61,98 @@ class WordEncoder:
             return w
         w.data = d = LOWER[d]
         letter, plain = (d >= 97) & (d <= 122), (d < 128) & (d != 39) & ~SEPARATOR[d]
-        inner = np.flatnonzero((letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]) + 1
+        inner = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
+        inner[1:] |= _latin(d)[:-1] & (plain & ~letter)[2:]
+        inner = np.flatnonzero(inner) + 1
         inner = inner[~np.isin(inner, w.offsets)]
         w.starts, w.ends = np.sort(np.concatenate([w.starts, inner])), np.sort(np.concatenate([w.ends, inner]))
         w.first = np.searchsorted(w.starts, w.offsets)
         return w
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        found, open_, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(open_):
+            entry = self.entry[slot]
+            here = self.keys[slot] == keys[open_]
+            found[open_[here]] = entry[here]
+            on = ~here & (entry >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & (self.slots - 1)
+        return found
+
+    def _insert(self, keys: np.ndarray) -> None:
+        """Give new distinct keys the next entries."""
+        entry, slot = np.arange(self.count, self.count + len(keys), dtype=np.int32), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        self.count += len(keys)
+        while len(keys):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = entry[free]
+            mine = self.entry[slot] == entry
+            self.keys[slot[mine]] = keys[mine]
+            keys, entry, slot = keys[~mine], entry[~mine], (slot[~mine] + 1) & (self.slots - 1)
+
+    def _learn(self, w: Words, keys: np.ndarray, example: np.ndarray) -> None:
+        """Encode new words, given by a place of each in w."""
+        starts, ends = w.starts[example], w.ends[example]
+        d = w.data
+        odd = np.concatenate([[0], np.cumsum(~(((d >= 97) & (d <= 122)) | _latin_bytes(d)))])
+        run = odd[ends] == odd[starts]
+        keys = np.concatenate([keys[run], keys[~run]])
+        raw = d.tobytes()
+        flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if run.any():
+            together = b" ".join([raw[a:b] for a, b in zip(starts[run].tolist(), ends[run].tolist())])
+            flat = np.array(self.tokenizer.encode_batch_fast([together.decode()], add_special_tokens=False)[0].ids, np.int32)
+            size = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        if not run.all():
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[~run].tolist(), ends[~run].tolist())], add_special_tokens=False)]
+            size = np.concatenate([size, np.fromiter(map(len, rest), np.int64, len(rest))])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.int32)])
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        if self.count + len(keys) > len(self.at):
+            self.at, self.size = (np.concatenate([x[: self.count], np.zeros(self.count + 2 * len(keys), np.int64)]) for x in (self.at, self.size))
+        self.at[self.count : self.count + len(keys)] = self.used + np.cumsum(size) - size
+        self.size[self.count : self.count + len(keys)] = size
+        self.used += len(flat)
+        self._insert(keys)
+
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents of w, and where each document's begin and end."""
-        keys, example, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
-            self._clear()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
+        hashes = w.hashes()
+        entry = self._find(hashes)
+        new = np.flatnonzero(entry < 0)
         if len(new):
-            raw = w.data.tobytes()
-            starts, ends = w.starts[example[new]].tolist(), w.ends[example[new]].tolist()
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends)], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
-            at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, flat])
-            self.keys, self.at, self.size = (np.insert(x, place[new], y) for x, y in ((self.keys, keys[new]), (self.at, at), (self.size, size)))
-            place = np.searchsorted(self.keys, keys)
-        at, size = self.at[place][which], self.size[place][which]
+            keys, example = np.unique(hashes[new], return_index=True)
+            if self.count + len(keys) > self.most:
+                self._clear()
+                keys, new = np.unique(hashes, return_index=True)
+                example = np.arange(len(keys))
+                if len(keys) > self.most:
+                    self.slots = 1 << (4 * len(keys)).bit_length()
+                    self.most = self.slots // 2
+                    self._clear()
+            self._learn(w, keys, new[example])
+            entry = self._find(hashes)
+        at, size = self.at[entry], self.size[entry]
         until = np.concatenate([[0], np.cumsum(size)])
         return self.pool[np.repeat(at - until[:-1], size) + np.arange(until[-1])], until[w.first]
 
 
+def _latin(d: np.ndarray) -> np.ndarray:
+    """Where a letter of two bytes from U+00C0 to U+00FF ends, for every byte but the first."""
+    return (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+
+
+def _latin_bytes(d: np.ndarray) -> np.ndarray:
+    """The bytes of these letters."""
+    out = np.zeros(len(d), bool)
+    out[1:] = _latin(d)
+    out[:-1] |= out[1:]
+    return out
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -127,11 +195,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, ro
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids; select and filter to read only some columns and pages."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids; select and filter to read only some columns and pages.
+
+    The bases are broadcast: two numbers for each file, and files are as many as write_tokens had partitions at most.
+    """
     rows = spark.read.schema(_SCHEMA).parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))  # a row a file
     before = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
-    return rows.join(before, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long"), "ids")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long"), "ids")
 
 
 def _checksums(batches):
