@@ -201,6 +201,22 @@ def test_token_files(spark, docs, tmp_path):
     assert got == sorted(want)
 
 
+def test_word_encoder_equals_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    rng, whole = np.random.default_rng(5), Tokenizer.from_file(path)
+    marks = [*"abAB19 .,'-é×÷ÈÿßÀŁ日İ\u0301\u00a0\u2003—😀sl<|\n\t\u0345ªµ", "'s", "'ll", "é.", "È9", "ñ-", "<|endoftext|>"]
+    said = ["".join(rng.choice(marks, rng.integers(0, 40))) for _ in range(3000)] + [None, "", "  "]
+    for size in (1, 7, 500):  # a cache of 64 words is cleared, and outgrown by one batch
+        encoder = token_files.WordEncoder(path, most=64)
+        for i in range(0, len(said), size):
+            ids, cut = encoder.encode(encoder.cut(pa.array(said[i : i + size], pa.string())))
+            for k, t in enumerate(said[i : i + size]):
+                assert ids[cut[k] : cut[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
 def test_source_mix(spark, docs):
     found = {r.doc_id: r for r in source_mix.mix_sources(docs).collect()}
     assert all(r.taken <= 2 * r["size"] and r.taken % max(r["size"], 1) == 0 for r in found.values())
