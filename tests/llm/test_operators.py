@@ -64,6 +64,18 @@ def test_jaccard_join(spark, docs, dense):
     assert got == plain_jaccard(texts(more))
 
 
+def test_jaccard_join_with_empty_parts(spark):
+    rows = [(i, " ".join(f"{w}{i}" if j == 7 else w for j, w in enumerate(BASE.split() * (1 + i % 2)))) for i in range(24)] + [(100 + i, " ".join(f"w{j}" for j in range(99)) + f" end{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    links = {a: sum(a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    groups = plain_jaccard(rows)
+    for block_words in (60, 250):  # parts of one or a few sets, and some of none
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(df, dense=1, block_words=block_words).collect()}
+        assert got == {i: (*groups[i], links[i]) for i in sets}
+    assert jaccard_join.block_links([], [np.arange(3, dtype=np.uint64)], 80).shape == (0, 1)
+
+
 def test_one_of_each(docs):
     kept = jaccard_join.one_of_each(docs)
     groups = plain_jaccard(texts(docs))
