@@ -186,6 +186,23 @@ def test_decontaminate(spark, docs):
         assert decontaminate.banded(p, t, -30, 90, 7)[0] == min(sellers(p.tolist(), t.tolist()), 8)
 
 
+def test_decontaminate_whole_edit_budget(spark):
+    rng = np.random.default_rng(3)
+    items, said = [], []
+    for i, m in enumerate([*range(15, 81), 160, 200]):
+        item = "".join(rng.choice(list("abcdefghijklmnop"), m))
+        e, edited = int(0.07 * min(m, 80)), list(item)
+        for at in (np.arange(e) + 1) * min(m, 80) // (e + 1):  # spread evenly, which leaves the fewest q-grams
+            for j in range(int(at), m, 80):
+                edited[j] = "X" if i % 2 else ""
+        items.append((i, item))
+        said.append((i, "0123456789 " + "".join(edited) + " 9876543210"))
+        said.append((1000 + i, "0123456789 " + "".join("Z" if j % 10 == 5 or m < 30 and j % 6 == 3 else c for j, c in enumerate(item)) + " 9876543210"))  # too many edits
+    docs, bench = spark.createDataFrame(said, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_language_id(spark, docs):
     said = {"en": BASE, "de": "der schnelle braune fuchs springt über den faulen hund während sieben andere tiere zusehen und niemand ein wort sagt bis der abend wieder mit regen kommt"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(said[lang].split())), lang) for i, lang in enumerate(["en", "de"] * 40)]

@@ -3,7 +3,8 @@
 Texts are compared with A-Z lowered and white space collapsed to one space. Each benchmark item is cut to
 overlapping pieces of `piece` bytes, every `piece` / 2 (shorter items are one piece). A piece of m bytes
 that occurs in a text with at most e edits shares at least m - q + 1 - q e of its q-grams with it (the q-gram
-lemma), all on diagonals at most e from each other. So:
+lemma), all on diagonals at most e from each other. A piece may have up to `rate` of its bytes edited, rounded down; where it is too short
+for the lemma to allow that at q, its own q is the largest that does. For the pieces of each q:
 
 * every q-gram of every text is looked up in a bitmap of the benchmark's q-grams, then in their sorted list;
 * hits are counted in bands of diagonals 2 (e + 1) wide that overlap by half, so any e + 1 neighbouring
@@ -13,7 +14,7 @@ lemma), all on diagonals at most e from each other. So:
 A text is contaminated if a piece passes. The benchmark travels to all tasks: PARTS of it at a time, each at most MOST_BYTES.
 
 Defined cases: null or empty texts and items match nothing; so do items of under `q` + 1 bytes, and items too
-short for an edit have to match exactly. Repeated rows each give their matches. Other columns are ignored. An empty table gives no rows.
+short for an edit (under 1 / `rate` bytes) have to match exactly. Repeated rows each give their matches. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,38 +43,48 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
-    """The hash of the q bytes from each place on, for 8 <= q <= 16: its first and its last 8 bytes."""
+    """The hash of the q bytes from each place on, for q <= 16: its first and its last 8 bytes, or all of fewer."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    padded = np.ascontiguousarray(data)
-    eight = np.lib.stride_tricks.as_strided(padded, (len(data) - 7, 8), (1, 1))
+    padded = np.ascontiguousarray(data) if q >= 8 else np.concatenate([data, np.zeros(8 - q, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
     word = np.ascontiguousarray(eight).view(np.uint64).ravel()
+    if q < 8:
+        return mix((word & np.uint64((1 << 8 * q) - 1)) * np.uint64(0x9E3779B97F4A7C15))
     return mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (word[q - 8 : q - 8 + n] + np.uint64(0x632BE59BD9B4E019)))
 
 
+def cut(items: list[tuple[int, str]], piece: int, rate: float, q: int) -> list[Pieces]:
+    """The benchmark's pieces by their q: the largest up to `q` at which the lemma allows the piece's whole budget of edits."""
+    by_q: dict[int, list[tuple[int, np.ndarray, int, int]]] = {}
+    for item, text in items:
+        raw = (text or "").encode()
+        data, _ = normalised(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        data = np.frombuffer(data.tobytes().strip(), np.uint8)
+        if len(data) <= q:
+            continue
+        cuts = [*range(0, max(1, len(data) - piece + 1), piece // 2)]
+        if cuts[-1] + piece < len(data):
+            cuts.append(len(data) - piece)
+        for a in cuts:
+            own = data[a : a + piece]
+            e = int(rate * len(own))
+            by_q.setdefault(min(q, len(own) // (e + 1)), []).append((item, own, e, len(cuts)))
+    return [Pieces(own, q) for q, own in sorted(by_q.items())]
+
+
 class Pieces:
-    """The benchmark as pieces, with the sorted hashes of their q-grams and the piece and place of each."""
+    """Pieces of the benchmark of one q, with the sorted hashes of their q-grams and the piece and place of each."""
 
-    def __init__(self, items: list[tuple[int, str]], piece: int, rate: float, q: int):
+    def __init__(self, cut: list[tuple[int, np.ndarray, int, int]], q: int):
         self.q, self.item, self.text, self.edits, self.bound, self.of = q, [], [], [], [], {}
-        for item, text in items:
-            raw = (text or "").encode()
-            data, _ = normalised(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            data = np.frombuffer(data.tobytes().strip(), np.uint8)
-            if len(data) <= q:
-                continue
-            cuts = [*range(0, max(1, len(data) - piece + 1), piece // 2)]
-            if cuts[-1] + piece < len(data):
-                cuts.append(len(data) - piece)
-            self.of[item] = len(cuts)
-            for a in cuts:
-                own = data[a : a + piece]
-                e = max(0, min(int(rate * len(own)), (len(own) - q) // q - 1))
-                self.item.append(item)
-                self.text.append(own)
-                self.edits.append(e)
-                self.bound.append(max(1, len(own) - q + 1 - q * e))
+        for item, own, e, of in cut:
+            self.of[item] = of
+            self.item.append(item)
+            self.text.append(own)
+            self.edits.append(e)
+            self.bound.append(len(own) - q + 1 - q * e)
         each = [grams(t, q) for t in self.text]
         size = np.array([len(g) for g in each], np.int64)
         hashes = np.concatenate([*each, np.zeros(0, np.uint64)])
@@ -154,14 +165,15 @@ def _scan(shipped):
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64()), ("n_pieces", pa.int64()), ("of_pieces", pa.int64())])
 
     def scan(batches):
-        b = shipped.value
         for batch in pieces(batches):
             data, offsets = normalised(*texts(batch.column("text")))
             ids, rows = batch.column("doc_id").to_pylist(), {}
-            for at, own, start, end, edits in matches(data, offsets, b):
-                was = rows.get((at, b.item[own]), (start, end, 0, 0))
-                rows[at, b.item[own]] = (min(start, was[0]), max(end, was[1]), was[2] + edits, was[3] + 1)
-            out = [(ids[at], item, *x, b.of[item]) for (at, item), x in sorted(rows.items())]
+            for b in shipped.value:
+                for at, own, start, end, edits in matches(data, offsets, b):
+                    item = b.item[own]
+                    was = rows.get((at, item), (start, end, 0, 0))
+                    rows[at, item] = (min(start, was[0]), max(end, was[1]), was[2] + edits, was[3] + 1, b.of[item])
+            out = [(ids[at], item, *x) for (at, item), x in sorted(rows.items())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], schema=kinds)
 
     return scan
@@ -179,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, piece: int = 80, rate:
     out = None
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        shipped = spark.sparkContext.broadcast(Pieces([tuple(r) for r in own.orderBy("item_id", "text").collect()], piece, rate, q))
+        shipped = spark.sparkContext.broadcast(cut([tuple(r) for r in own.orderBy("item_id", "text").collect()], piece, rate, q))
         one = docs.mapInArrow(_scan(shipped), "doc_id long, item_id long, start long, end long, edits long, n_pieces long, of_pieces long")
         out = one if out is None else out.union(one)
     return out
