@@ -147,6 +147,30 @@ def test_ann(spark):
     assert ann.nearest_neighbours(df.where("false"), df).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_ann_hot_group(spark, noise):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_480, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[::3] = x[0] + noise / 8 * rng.normal(size=x[::3].shape)
+    got = hot_group_rows(spark, x.astype(np.float32), list(range(0, 60, 3)) + list(range(1, 60, 3)))
+    assert min(got.values()) >= 18 and np.mean([got[q] for q in range(0, 60, 3)]) >= 19
+
+
+def hot_group_rows(spark, x, asked):
+    """How many of each query's 20 rows score as high as the 20th best."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = collections.defaultdict(list)
+    for r in ann.nearest_neighbours(df, df.where(F.col("vec_id").isin(asked))).collect():
+        found[r.query_id].append(r.score)
+    out = {}
+    for q in asked:
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        out[q] = sum(v >= np.partition(s, -20)[-20] - 1e-9 for v in found[q])
+    return out
+
+
 def test_reply_trees(spark):
     odd = [(1, 0, "user", "a <|end|> \\ <\\|x [INST] </s>"), (1, 1, None, None), (1, 1, "assistant", ""), (1, 2, "assistant", "😀\nb"), (2, 5, "assistant", "x" * 9000)]
     df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")

@@ -6,7 +6,8 @@
   and vectors near a boundary also to up to `copies` - 1 others whose centroid is at most `closure` times as far, unless an
   already chosen centroid is nearer to that one than the vector is.
 * Search: a query walks the centroids' neighbour graph in memory, best first, and takes the lists whose
-  centroids are at most `ratio` times as far as the nearest, `lists` at most.
+  centroids are at most `ratio` times as far as the nearest, `lists` at most, and more while they hold too few rows. The graph is
+  connected, its centroids are distinct, and each has links in several directions, so groups of equal or close vectors are reached.
 * Lists are cut to shards of `shard` vectors by a hash, and the queries of a list to blocks of `block`, so a task meets a
   bounded number of either, however large a list or cluster is. Each meeting returns its own best rows, and a query's best of all lists win.
 
@@ -45,6 +46,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
         np.add.at(total, own, x)
         c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
     own, out = nearest(x, c), []
+    c, own = c[np.unique(own)], np.unique(own, return_inverse=True)[1]  # equal centroids leave all but one of them empty
     most = max(8, 4 * len(x) // len(c))
     todo = [(x[own == i], c[i]) for i in range(len(c))]
     while todo:
@@ -57,7 +59,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
             out.append(centre)
         else:
             todo += [(part[s], part[s].mean(axis=0)) for s in (side, ~side)]
-    return np.array(out)
+    return np.unique(np.array(out), axis=0)
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -68,17 +70,44 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([distances(x[i : i + 2048], c).argmin(axis=1) for i in range(0, len(x), 2048)])
 
 
+def linked(between: np.ndarray) -> list[np.ndarray]:
+    """A connected graph of neighbours. Half of a node's DEGREE are its nearest, the others the nearest in other directions: none of them is
+    nearer to one already taken than to the node, so a tight group has links out of it. Parts that are still apart are linked where they are nearest."""
+    n = len(between)
+    links = [set() for _ in range(n)]
+    for i in range(n):
+        order = np.argsort(between[i], kind="stable")
+        order = order[order != i]
+        links[i].update(order[: DEGREE // 2].tolist())
+        for _ in range(DEGREE // 2):
+            if not len(order):
+                break
+            j = order[0]
+            links[i].add(int(j))
+            order = order[1:]
+            order = order[between[j][order] >= between[i][order]]
+    for i, r in enumerate(list(map(tuple, links))):
+        for j in r:
+            links[j].add(i)
+    reached = np.zeros(n, bool)
+    todo = [0] if n else []
+    while todo:
+        reached[todo] = True
+        todo = sorted({j for i in todo for j in links[i] if not reached[j]})
+        if not todo and not reached.all():
+            inside, outside = np.flatnonzero(reached), np.flatnonzero(~reached)
+            a, b = np.unravel_index(between[np.ix_(inside, outside)].argmin(), (len(inside), len(outside)))
+            links[inside[a]].add(int(outside[b]))
+            links[outside[b]].add(int(inside[a]))
+            todo = [int(outside[b])]
+    return [np.array(sorted(r), int) for r in links]
+
+
 class Centroids:
     def __init__(self, c: np.ndarray, longest: float):
         self.c, self.longest = c, longest
-        self.between = None if len(c) > 2 * MOST_LISTS else distances(c, c)
-        degree = min(DEGREE, len(c) - 1)
-        near = np.argpartition(self.between, degree, axis=1)[:, : degree + 1] if degree > 0 else np.zeros((len(c), 1), int)
-        links = [set(map(int, r)) - {i} for i, r in enumerate(near)]
-        for i, r in enumerate(list(map(tuple, links))):
-            for j in r:
-                links[j].add(i)
-        self.links = [np.array(sorted(r), int) for r in links]
+        self.between = distances(c, c)
+        self.links = linked(self.between)
         self.entry = int(distances(c.mean(axis=0)[None, :], c).argmin())
 
     def lifted(self, v: np.ndarray) -> np.ndarray:
@@ -100,15 +129,29 @@ class Centroids:
         row, column = np.nonzero(taken)
         return row, order[row, column]
 
-    def search(self, q: np.ndarray, lists: int, ratio: float) -> list[int]:
-        """The lists of one query, by best-first search on the graph of centroids."""
+    def search(self, q: np.ndarray, lists: int, ratio: float, sizes: np.ndarray, least: int) -> list[int]:
+        """The lists of one query, by best-first search on the graph of centroids: `lists` at most, but as many more as it takes to hold `least` rows."""
+        while True:
+            found = [(d, i) for d, i in self._walk(q, 2 * lists) if sizes[i]]
+            held = np.cumsum([sizes[i] for _, i in found])
+            if len(held) and held[-1] >= least or 2 * lists >= len(self.c):
+                break
+            lists *= 2
+        near = [i for d, i in found[:lists] if d <= ratio**2 * max(found[0][0], 1e-12)]
+        enough = int(np.searchsorted(held, least)) + 1
+        return near if len(near) >= enough else [i for _, i in found[:enough]]
+
+    def _walk(self, q: np.ndarray, width: int) -> list[tuple[float, int]]:
+        """The `width` nearest centroids that the walk finds, with their distances."""
         size = np.sqrt((q * q).sum())
         q = np.append(q * (self.longest / size), 0.0)
         far = lambda at: ((self.c[at] - q) ** 2).sum(axis=-1)
+        if width >= len(self.c):  # the graph is connected, so the walk would find all
+            d = far(np.arange(len(self.c)))
+            return [(float(d[i]), int(i)) for i in np.argsort(d, kind="stable")]
         seen = {self.entry}
         first = float(far(self.entry))
         todo, best = [(first, self.entry)], [(-first, self.entry)]
-        width = 2 * lists
         while todo:
             d, at = heapq.heappop(todo)
             if len(best) >= width and d > -best[0][0]:
@@ -121,8 +164,7 @@ class Centroids:
                     heapq.heappush(best, (-x, i))
                     if len(best) > width:
                         heapq.heappop(best)
-        found = sorted((-d, i) for d, i in best)
-        return [i for d, i in found[:lists] if d <= ratio**2 * max(found[0][0], 1e-12)]
+        return sorted((-d, i) for d, i in best)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -195,11 +237,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, list
     def choose(batches):
         for batch in batches:
             v = _matrix(batch.column("v"))
-            found = [shipped.value.search(q, lists, ratio) for q in v]
+            found = [shipped.value.search(q, lists, ratio, held.value, least) for q in v]
             row = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(np.concatenate([np.array(f, np.int32) for f in found] or [np.zeros(0, np.int32)]))], names=["query_id", "v", "list"])
 
     listed = shared.settle(rows.mapInArrow(place, "vec_id long, v array<double>, list int"), "lists")
+    sizes = np.zeros(len(index.c), np.int64)
+    for row in listed.groupBy("list").count().collect():  # a row a list, MOST_LISTS * 2 at most
+        sizes[row[0]] = row[1]
+    held, least = spark.sparkContext.broadcast(sizes), copies * 4 * (k + 1)  # rows count once for each copy
     wanted = shared.settle(asked.mapInArrow(choose, "query_id long, v array<double>, list int"), "wanted")
     # a row a list, MOST_LISTS * 2 at most
     sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "list")
