@@ -157,6 +157,14 @@ def test_ann_hot_group(spark, noise):
     assert min(got.values()) >= 18 and np.mean([got[q] for q in range(0, 60, 3)]) >= 19
 
 
+def test_ann_recall_without_clusters(spark):
+    x = np.random.default_rng(9).normal(size=(51_200, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    got = hot_group_rows(spark, x.astype(np.float32), list(range(0, 51_200, 256)))
+    print("recall", sum(got.values()) / (20 * len(got)))
+    assert sum(got.values()) >= 0.9 * 20 * len(got)
+
+
 def hot_group_rows(spark, x, asked):
     """How many of each query's 20 rows score as high as the 20th best."""
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")

@@ -11,6 +11,10 @@
 * Lists are cut to shards of `shard` vectors by a hash, and the queries of a list to blocks of `block`, so a task meets a
   bounded number of either, however large a list or cluster is. Each meeting returns its own best rows, and a query's best of all lists win.
 
+How many lists a query takes is found at build time: HELD_OUT of the queries, hash-chosen and kept out of the k-means sample, are also
+answered by brute force, and `lists` grows by a quarter at a time until they find `recall` of their true neighbours; if `ratio`
+costs more than that allows, it is dropped. At worst every list is taken, which is a full scan.
+
 Scores are sums of products in double precision, in the order of the components.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, and neither do vectors
@@ -33,6 +37,7 @@ from . import shared
 SAMPLE = 20_000
 MOST_LISTS = 4096
 DEGREE = 16
+HELD_OUT = 128
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -209,8 +214,51 @@ def _meet(k: int):
     return meet
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, list_size: int = 256, copies: int = 4, closure: float = 1.15, lists: int = 48, ratio: float = 1.4, shard: int = 4096, block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector of `queries` its k best in `vectors` (both vec_id, embedding), itself excluded."""
+def _brute(rows: DataFrame, tests: list, k: int, homes) -> list:
+    """(test, lists) of the true neighbours of a few vectors: the lists that hold each neighbour."""
+    ids, q = np.array([t[0] for t in tests]), np.array([t[1] for t in tests])
+
+    def best(batches):
+        score, vec, kept = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, q.shape[1]))
+        for batch in batches:
+            v, own = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+            new = q @ v.T
+            new[ids[:, None] == own[None, :]] = -np.inf
+            some = np.argpartition(-new, min(k, len(own)) - 1, axis=1)[:, :k]
+            score = np.hstack([score, np.take_along_axis(new, some, axis=1)])
+            vec, kept = np.hstack([vec, own[some]]), np.concatenate([kept, v[some]], axis=1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, vec = np.take_along_axis(score, top, axis=1), np.take_along_axis(vec, top, axis=1)
+            kept = np.take_along_axis(kept, top[:, :, None], axis=1)
+        if score.size:
+            test, place = np.nonzero(score > -np.inf)
+            row, home = homes(kept[test, place])
+            cut = np.searchsorted(row, np.arange(len(test) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(test.astype(np.int32)), pa.array(vec[test, place]), pa.array(score[test, place]), pa.ListArray.from_arrays(cut.astype(np.int32), home.astype(np.int32))],
+                names=["test", "vec_id", "score", "homes"],
+            )
+
+    rank = F.row_number().over(Window.partitionBy("test").orderBy(F.desc("score"), "vec_id"))
+    found = rows.mapInArrow(best, "test int, vec_id long, score double, homes array<int>")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("test", "homes").collect()  # HELD_OUT * k rows at most
+
+
+def _measured(index: Centroids, tests: list, truth: list, *search) -> float:
+    lists = [set(index.search(np.array(t[1]), *search)) for t in tests]
+    return sum(not lists[r[0]].isdisjoint(r[1]) for r in truth) / max(len(truth), 1)
+
+
+def calibrated(index: Centroids, tests: list, truth: list, lists: int, ratio: float, recall: float, sizes: np.ndarray, least: int) -> tuple[int, float]:
+    """The lists and the ratio with which the held-out queries find `recall` of their true neighbours."""
+    while _measured(index, tests, truth, lists, np.inf, sizes, least) < recall and lists < len(index.c):
+        lists = min(len(index.c), lists + max(1, lists // 4))
+    return lists, ratio if _measured(index, tests, truth, lists, ratio, sizes, least) >= recall else np.inf
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, list_size: int = 256, copies: int = 4, closure: float = 1.15, lists: int = 48, ratio: float = 1.4, shard: int = 4096, block: int = 1024, recall: float = 0.95) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vector of `queries` its k best in `vectors` (both vec_id, embedding), itself excluded.
+    `lists` is where the number of lists starts; it grows until held-out queries find `recall` of their neighbours."""
     spark = vectors.sparkSession
     shared.tune(spark)
     rows = shared.settle(usable(vectors), "vectors")
@@ -224,7 +272,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, list
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_003)) <= int(chance * 1_000_003)).orderBy("vec_id").limit(2 * SAMPLE).collect()
     if not sample:
         sample = rows.orderBy("vec_id").limit(16).collect()
-    x = np.array([r[1] for r in sample])
+    tests = asked.orderBy(F.xxhash64("query_id", F.lit(7)), "query_id").limit(HELD_OUT).collect()
+    out = {t[0] for t in tests}
+    apart = [r for r in sample if r[0] not in out]
+    x = np.array([r[1] for r in (apart if 2 * len(apart) > len(sample) else sample)])
     lifted = np.hstack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))[:, None]])
     index = Centroids(kmeans(lifted, max(1, min(MOST_LISTS, count // list_size, len(x) // 4))), longest)
     shipped = spark.sparkContext.broadcast(index)
@@ -245,7 +296,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, list
     sizes = np.zeros(len(index.c), np.int64)
     for row in listed.groupBy("list").count().collect():  # a row a list, MOST_LISTS * 2 at most
         sizes[row[0]] = row[1]
-    held, least = spark.sparkContext.broadcast(sizes), copies * 4 * (k + 1)  # rows count once for each copy
+    least = copies * 4 * (k + 1)  # rows count once for each copy
+    if tests and len(tests[0][1]) == x.shape[1]:
+        lists, ratio = calibrated(index, tests, _brute(rows, tests, k, lambda v: shipped.value.homes(v, copies, closure)), lists, ratio, recall, sizes, least)
+    held = spark.sparkContext.broadcast(sizes)
     wanted = shared.settle(asked.mapInArrow(choose, "query_id long, v array<double>, list int"), "wanted")
     # a row a list, MOST_LISTS * 2 at most
     sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "list")
