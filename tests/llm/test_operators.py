@@ -235,6 +235,25 @@ def test_decontaminate_whole_edit_budget(spark):
     assert got == {(i, i) for i, _ in items}
 
 
+def test_null_keys(spark):
+    copies = " ".join(f"w{j}" for j in range(120))
+    near, passage = copies + " end", "0 1 2 3 4 5 6 7 8 9 " * 3 + BASE[:160]
+    rows = [(1, copies), (None, near), (None, passage), (None, "something else " * 9), (None, None), (2, "and more of this " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted(map(repr, kept.select("text").collect())) in [sorted(repr(r) for r in df.where(F.col("text").isNull() | (F.col("text") != x)).select("text").collect()) for x in (copies, near)]
+    bench = spark.createDataFrame([(None, BASE[:160]), (None, copies[:200]), (5, "not anywhere in these texts at all")], "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, [(1, None), (None, None), (None, None)]))
+    clean = decontaminate.decontaminate(df, bench)
+    assert sorted(map(repr, clean.collect())) == sorted(repr(r) for r in df.collect() if r.text not in (copies, near, passage))
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert got[1, 120] == 120 and got[None, 121] == 120 and got[None, 0] == 0 and len(substring_dedup.substring_dedup(df).collect()) == 6
+    talk = [(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (3, 0, "user", "d")]
+    turns = reply_trees.chat_digest(reply_trees.format_branches(reply_trees.linear(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))))
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in turns.collect()} == {(None, 2, 2), (3, 1, 0)}
+
+
 def test_language_id(spark, docs):
     said = {"en": BASE, "de": "der schnelle braune fuchs springt über den faulen hund während sieben andere tiere zusehen und niemand ein wort sagt bis der abend wieder mit regen kommt"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(said[lang].split())), lang) for i, lang in enumerate(["en", "de"] * 40)]

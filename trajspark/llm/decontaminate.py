@@ -14,7 +14,8 @@ for the lemma to allow that at q, its own q is the largest that does. For the pi
 A text is contaminated if a piece passes. The benchmark travels to all tasks: PARTS of it at a time, each at most MOST_BYTES.
 
 Defined cases: null or empty texts and items match nothing; so do items of under `q` + 1 bytes, and items too
-short for an edit (under 1 / `rate` bytes) have to match exactly. Repeated rows each give their matches. Other columns are ignored. An empty table gives no rows.
+short for an edit (under 1 / `rate` bytes) have to match exactly. Items with a null item_id are items of their own, with a null
+item_id in the result, and so are documents with a null doc_id. Repeated rows each give their matches. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,10 +56,11 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     return mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (word[q - 8 : q - 8 + n] + np.uint64(0x632BE59BD9B4E019)))
 
 
-def cut(items: list[tuple[int, str]], piece: int, rate: float, q: int) -> list[Pieces]:
+def cut(items: list[tuple[int | None, str]], piece: int, rate: float, q: int) -> list[Pieces]:
     """The benchmark's pieces by their q: the largest up to `q` at which the lemma allows the piece's whole budget of edits."""
-    by_q: dict[int, list[tuple[int, np.ndarray, int, int]]] = {}
-    for item, text in items:
+    by_q: dict[int, list[tuple[tuple[bool, int], np.ndarray, int, int]]] = {}
+    for place, (item, text) in enumerate(items):
+        key = (item is None, place if item is None else item)
         raw = (text or "").encode()
         data, _ = normalised(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         data = np.frombuffer(data.tobytes().strip(), np.uint8)
@@ -70,14 +72,14 @@ def cut(items: list[tuple[int, str]], piece: int, rate: float, q: int) -> list[P
         for a in cuts:
             own = data[a : a + piece]
             e = int(rate * len(own))
-            by_q.setdefault(min(q, len(own) // (e + 1)), []).append((item, own, e, len(cuts)))
+            by_q.setdefault(min(q, len(own) // (e + 1)), []).append((key, own, e, len(cuts)))
     return [Pieces(own, q) for q, own in sorted(by_q.items())]
 
 
 class Pieces:
     """Pieces of the benchmark of one q, with the sorted hashes of their q-grams and the piece and place of each."""
 
-    def __init__(self, cut: list[tuple[int, np.ndarray, int, int]], q: int):
+    def __init__(self, cut: list[tuple[tuple[bool, int], np.ndarray, int, int]], q: int):
         self.q, self.item, self.text, self.edits, self.bound, self.of = q, [], [], [], [], {}
         for item, own, e, of in cut:
             self.of[item] = of
@@ -173,7 +175,7 @@ def _scan(shipped):
                     item = b.item[own]
                     was = rows.get((at, item), (start, end, 0, 0))
                     rows[at, item] = (min(start, was[0]), max(end, was[1]), was[2] + edits, was[3] + 1, b.of[item])
-            out = [(ids[at], item, *x) for (at, item), x in sorted(rows.items())]
+            out = [(ids[at], None if nameless else item, *x) for (at, (nameless, item)), x in sorted(rows.items())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], schema=kinds)
 
     return scan
@@ -185,12 +187,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, piece: int = 80, rate:
     spark = docs.sparkSession
     shared.tune(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // MOST_BYTES) or 1  # a benchmark of any size goes in parts of a bounded size, one pass each
     out = None
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(parts)) == part)
         shipped = spark.sparkContext.broadcast(cut([tuple(r) for r in own.orderBy("item_id", "text").collect()], piece, rate, q))
         one = docs.mapInArrow(_scan(shipped), "doc_id long, item_id long, start long, end long, edits long, n_pieces long, of_pieces long")
         out = one if out is None else out.union(one)
@@ -198,5 +200,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, piece: int = 80, rate:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, in which nothing of the benchmark was found."""
-    return shared.without(docs, "doc_id", shared.settle(contamination(docs, benchmark).select("doc_id").distinct(), "contaminated"))
+    """The documents, with all their columns, in which nothing of the benchmark was found; those without doc_id are told apart by their text."""
+    every = shared.named(docs)
+    return shared.as_named(shared.without(every, "doc_id", shared.settle(contamination(every, benchmark).select("doc_id").distinct(), "contaminated")), docs)

@@ -11,7 +11,7 @@ backslashes there gets one more, so nothing in a text can open or close a turn a
 
 The loss mask is an array of (start, end) in code points of the formatted text: the texts of `learn` roles.
 
-Defined cases: null texts and roles count as empty. A parent that is missing makes its child a root. Messages on a
+Defined cases: null texts and roles count as empty. Messages with a null conv_id are one conversation, and messages with a null node belong to no path. A parent that is missing makes its child a root. Messages on a
 cycle belong to no path. Repeated messages are turns of their own where rows are numbered by `linear`. Other columns are ignored. An
 empty table gives no rows.
 """
@@ -45,9 +45,18 @@ def linear(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def keyed(messages: DataFrame) -> DataFrame:
+    """The messages with conv_id as a struct, which is never null, so that a null conversation joins like any other."""
+    return messages.withColumn("conv_id", F.struct("conv_id"))
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """conv_id, leaf, node, distance (from the leaf) of every root-to-leaf path of `messages` (conv_id, node, parent)."""
-    nodes = shared.settle(messages.select("conv_id", "node", "parent"), "nodes")
+    return _paths(keyed(messages)).withColumn("conv_id", F.col("conv_id.conv_id"))
+
+
+def _paths(messages: DataFrame) -> DataFrame:
+    nodes = shared.settle(messages.select("conv_id", "node", "parent").where("node IS NOT NULL"), "nodes")
     most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     parents = nodes.select("conv_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
     found = shared.settle(nodes.join(parents, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")), "paths")
@@ -65,7 +74,11 @@ def paths(messages: DataFrame) -> DataFrame:
 
 def chosen(messages: DataFrame, keep: int = 1) -> DataFrame:
     """conv_id, branch (its rank), leaf, node, distance of the best branches."""
-    every = paths(messages)
+    return _chosen(keyed(messages), keep).withColumn("conv_id", F.col("conv_id.conv_id"))
+
+
+def _chosen(messages: DataFrame, keep: int) -> DataFrame:
+    every = _paths(messages)
     scored = every.join(messages.select("conv_id", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["conv_id", "node"])
     ranks = scored.groupBy("conv_id", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("length"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("length"), "leaf"))
@@ -75,7 +88,8 @@ def chosen(messages: DataFrame, keep: int = 1) -> DataFrame:
 
 def format_branches(messages: DataFrame, keep: int = 1, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, branch, formatted and loss_mask for the best branches of each tree of `messages` (conv_id, node, parent, role, text, score)."""
-    turns = chosen(messages, keep).join(messages.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
+    messages = keyed(messages)
+    turns = _chosen(messages, keep).join(messages.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
     turn = F.struct((-F.col("distance")).alias("place"), "node", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"), F.col("role").isin(*learn).alias("learn"))
     rows = turns.groupBy("conv_id", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(TURN), t["role"], F.lit(TEXT), t["text"], F.lit(END))), "")
@@ -89,7 +103,7 @@ def format_branches(messages: DataFrame, keep: int = 1, learn: tuple[str, ...] =
         ),
         lambda acc: acc["spans"],
     )
-    return rows.select("conv_id", "branch", formatted.alias("formatted"), mask.alias("loss_mask"))
+    return rows.select("conv_id.conv_id", "branch", formatted.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -48,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """The documents with a doc_id each, and whether it was null (`nameless`): then a hash of the text stands in, so rows without id are told apart by text."""
+    stand_in = F.xxhash64(F.lit("nameless"), F.col("text").cast("string"))
+    return docs.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), stand_in)})
+
+
+def as_named(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """What is left of named(like), with the columns of `like`."""
+    return docs.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id")).cast(like.schema["doc_id"].dataType)).select(*[F.col(f"`{c}`") for c in like.columns])
+
+
 BITMAP_BITS = 1 << 25
 _BITS_PER_ROW = 32768
 
