@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Documents are long, so the default of 10,000 rows would make batches of many MB.
-ARROW_ROWS = "500"
+#: Rows and bytes of an Arrow batch. Documents are long, so the default of 10,000 rows would make batches of many MB.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(4 << 20))}
+#: Columns that an operator adds for itself start so.
+OWN = "_trajspark_"
 
 
 def tune(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Smaller Arrow batches, unless the session has its own setting."""
+    for key, (default, small) in ARROW.items():
+        if spark.conf.get(key, default) in (default, f"{default}b"):
+            spark.conf.set(key, small)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,46 +53,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+NAMELESS = f"{OWN}nameless"
+
+
 def named(docs: DataFrame) -> DataFrame:
-    """The documents with a doc_id each, and whether it was null (`nameless`): then a hash of the text stands in, so rows without id are told apart by text."""
+    """The documents with a doc_id each, and whether it was null (NAMELESS): then a hash of the text stands in, so rows without id are told apart by text."""
     stand_in = F.xxhash64(F.lit("nameless"), F.col("text").cast("string"))
-    return docs.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), stand_in)})
+    return docs.withColumns({NAMELESS: F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), stand_in)})
 
 
 def as_named(docs: DataFrame, like: DataFrame) -> DataFrame:
     """What is left of named(like), with the columns of `like`."""
-    return docs.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id")).cast(like.schema["doc_id"].dataType)).select(*[F.col(f"`{c}`") for c in like.columns])
+    return docs.withColumn("doc_id", F.when(~F.col(NAMELESS), F.col("doc_id")).cast(like.schema["doc_id"].dataType)).select(*[F.col(f"`{c}`") for c in like.columns])
 
 
-BITMAP_BITS = 1 << 25
+#: Bits of a bitmap: 16 for each key, within these bounds (128 KB and 32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _BITS_PER_ROW = 32768
 
 
-def _slot(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
-
-
-def may_contain(rows: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
-    """The rows whose key may be in `wanted` (a table with a column of that name).
+def may_contain(rows: DataFrame, key: str, wanted: DataFrame, others: bool = False, keys: int | None = None) -> DataFrame:
+    """The rows whose key may be in `wanted` (a table with a column of that name). `others`: the rest instead.
 
-    A bitmap of BITMAP_BITS bits (4 MB, whatever the size of the data) is broadcast. Rows outside
-    `wanted` can pass, so an exact join has to follow; rows in `wanted` always pass. `others`: the rest instead.
+    A bitmap of at most MOST_BITS bits is broadcast, sized by the number of keys (`keys`, if known). Rows outside `wanted` can pass, so an exact join has to
+    follow; rows in `wanted` always pass. With over 100 million keys more and more of the others pass too, and the join alone decides.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * (wanted.count() if keys is None else keys)).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    group, map_ = f"{OWN}group", f"{OWN}map"
     maps = (
-        wanted.select(_slot(key).alias("_s"))
-        .groupBy(F.floor(F.col("_s") / _BITS_PER_ROW).alias("_b"))
-        .agg(F.call_function("bitmap_construct_agg", F.col("_s") % _BITS_PER_ROW).alias("_m"))
+        wanted.select(slot.alias("slot"))
+        .groupBy(F.floor(F.col("slot") / _BITS_PER_ROW).alias(group))
+        .agg(F.call_function("bitmap_construct_agg", F.col("slot") % _BITS_PER_ROW).alias(map_))
     )
-    slot = _slot(key)
-    byte = F.conv(F.hex(F.substring("_m", F.floor((slot % _BITS_PER_ROW) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(map_, F.floor((slot % _BITS_PER_ROW) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("getbit", byte, (slot % 8).cast("int")) == 1
-    return rows.join(F.broadcast(maps), F.floor(slot / _BITS_PER_ROW) == F.col("_b"), "left").where(F.coalesce(bit, F.lit(False)) != F.lit(others)).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.join(F.broadcast(maps), F.floor(slot / _BITS_PER_ROW) == F.col(group), "left").where(F.coalesce(bit, F.lit(False)) != F.lit(others)).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """The rows whose key is not in `dropped`; only rows that may be dropped are shuffled."""
-    dropped = dropped.select(key).distinct()
-    return may_contain(rows, key, dropped, others=True).unionByName(may_contain(rows, key, dropped).join(dropped, key, "left_anti").select(*rows.columns))
+    dropped = settle(dropped.select(key).distinct(), "dropped")
+    keys, columns = dropped.count(), [F.col(f"`{c}`") for c in rows.columns]
+    return may_contain(rows, key, dropped, others=True, keys=keys).unionByName(may_contain(rows, key, dropped, keys=keys).join(dropped, key, "left_anti").select(*columns))
 
 
 def recurring(rows: DataFrame, key: str, name: str, *more) -> DataFrame:
@@ -102,20 +110,38 @@ def recurring(rows: DataFrame, key: str, name: str, *more) -> DataFrame:
     return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
 
 
+def heavy_keys(rows: DataFrame, key: str, most: int = 1000) -> list:
+    """The values of `key` that hold over a `most`-th of the rows (and over 100): at most `most` of them."""
+    bound = max(100, rows.count() // most)
+    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound).limit(most).select(key).collect()]
+
+
+def matched(rows: DataFrame, key: str, other: DataFrame, how: str = "inner", heavy: list | None = None) -> DataFrame:
+    """rows joined with `other`, which has each value of `key` once. What `other` has for heavy keys is broadcast, so no key's rows meet in one task."""
+    heavy = heavy_keys(rows, key) if heavy is None else heavy
+    if not heavy:
+        return rows.join(other, key, how)
+    some = F.col(key).isin(heavy)
+    light = rows.where(~F.coalesce(some, F.lit(False))).join(other.where(~some), key, how)
+    return light.unionByName(rows.where(some).join(F.broadcast(other.where(some)), key, how))
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of `edges` (a, b): label is the least node that it can reach.
 
     Alternating rounds: every node hands the least label around it to its neighbours, then labels
     are followed one step (pointer jumping). Each round is written to the shared folder. The number
-    of rounds grows with the logarithm of the longest chain, and nothing is collected but a flag.
+    of rounds grows with the logarithm of the longest chain, and nothing is collected but a flag. Nodes with
+    very many edges, and labels of very many nodes, are joined by broadcast (see `matched`).
     """
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
+    hubs = heavy_keys(both, "b")
     while True:
-        around = both.join(labels.withColumnsRenamed({"node": "b", "label": "other"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        new = labels.join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("other", "label")).alias("label"))
+        around = matched(both, "b", labels.withColumnsRenamed({"node": "b", "label": "other"}), heavy=hubs).groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        new = settle(labels.join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("other", "label")).alias("label")), f"{name}-around")
         step = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = settle(new.join(step, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), f"{name}-labels")
+        new = settle(matched(new, "label", step, "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), f"{name}-labels")
         if new.where("was <> label").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")

@@ -73,12 +73,12 @@ def _seeds(batches, window: int, seed: int):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                batch.column("nameless"),
+                batch.column(shared.NAMELESS),
                 pa.array(w.counts.astype(np.int64)),
                 pa.array([hashlib.sha256(x).hexdigest() for x in joined(w)], pa.string()),
                 pa.ListArray.from_arrays(cut.astype(np.int32), grams[chosen].astype(np.int64)),
             ],
-            names=["doc_id", "nameless", "n_words", "whole", "seeds"],
+            names=["doc_id", shared.NAMELESS, "n_words", "whole", "seeds"],
         )
 
 
@@ -128,7 +128,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
     spark = docs.sparkSession
     shared.tune(spark)
     docs = shared.named(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    found = shared.settle(docs.mapInArrow(lambda b: _seeds(b, window, seed), "doc_id long, nameless boolean, n_words long, whole string, seeds array<long>"), "seeds")
+    found = shared.settle(docs.mapInArrow(lambda b: _seeds(b, window, seed), f"doc_id long, {shared.NAMELESS} boolean, n_words long, whole string, seeds array<long>"), "seeds")
     classes = found.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min_by("seeds", "doc_id").alias("seeds"))
     classes = shared.settle(classes, "classes")
 
@@ -146,8 +146,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
 
     known = classes.select("whole", "node", "copies").join(cut, "node", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    return found.select("doc_id", "nameless", "n_words", "whole").join(known, "whole").select(
-        F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"),
+    return found.select("doc_id", shared.NAMELESS, "n_words", "whole").join(known, "whole").select(
+        F.when(~F.col(shared.NAMELESS), F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(all_gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
