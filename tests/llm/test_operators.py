@@ -133,7 +133,7 @@ def test_ann(spark):
     x[7] = x[9]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), list_size=40, lists=12).collect()
+    got = ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), list_size=40).collect()
     hits = 0
     for q in range(0, 600, 20):
         s = ann.exact_scores(x[q].astype(float), x.astype(float))
@@ -215,7 +215,8 @@ def test_decontaminate(spark, docs):
         p, t = rng.integers(0, 3, 25).astype(np.uint8), rng.integers(0, 3, 50).astype(np.uint8)
         t[10:35] = p
         t[rng.integers(10, 35)] = 9
-        assert decontaminate.banded(p, t, -30, 90, 7)[0] == min(sellers(p.tolist(), t.tolist()), 8)
+        window = np.concatenate([np.full(30, 255), t, np.full(64, 255)]).astype(np.uint8)
+        assert decontaminate.aligned(p[None], window[None], 7)[0][0] == min(sellers(p.tolist(), t.tolist()), 8)
 
 
 def test_decontaminate_whole_edit_budget(spark):
