@@ -5,20 +5,23 @@ Ids are dictionary-encoded, the sorted columns doc_id and offset delta-encoded.
 `page_rows` rows, and Parquet's column and offset indexes (which Spark's writer always adds) let a reader with a
 filter on doc_id fetch only some pages, and a reader of metadata skip the ids.
 
-Documents are range-partitioned by doc_id and sorted, so files follow each other in ascending order. No total
-order is made in one task: a file's base is the sum of the ids in the files before it.
+Documents are range-partitioned by doc_id (rows of one doc_id also by a hash of their text, so many of them are no hot key) and sorted, so files
+follow each other in ascending order. No total order is made in one task: a file's base is the sum of the ids in the files
+before it, and a small table of bases, `_bases`, stands beside the files.
 
-A text is encoded piece by piece, each distinct piece once per cache. The tokenizer used splits at white space and drops it, and between
+A text is encoded piece by piece, each distinct piece once per cache, if the tokenizer splits texts as PIECEWISE says; with any other the
+library encodes whole texts. Such a tokenizer splits at white space and drops it, and between
 letters and other characters, and lower-cases, so pieces are words in lower case, cut further where an ASCII letter meets another ASCII
 character that is no apostrophe, and where a letter from U+00C0 to U+00FF is followed by an ASCII character that is neither. The ids are those of the whole text; a batch of texts that holds "<|", with which special tokens begin, is
 encoded by whole words as they are.
 
-Defined cases: null counts as empty and gives the end id alone. Rows with equal ids are ordered by text. Other columns
-are ignored. An empty table gives empty files and no rows. Words are told apart by 64-bit hashes.
+Defined cases: null counts as empty and gives the end id alone. Rows with equal ids are ordered by a hash of their text, then the text; null ids come first. Other columns
+are ignored. An empty table gives empty files and no rows. Texts of any length are encoded whole. Pieces are told apart by 64-bit hashes (see `words`).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from itertools import chain
@@ -34,14 +37,52 @@ from .words import LOWER, SEPARATOR, Words, pieces
 _SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
 
+# How a tokenizer file has to normalise and split for texts to be encoded piece by piece.
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def tokenizer_of(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def splits_into_pieces(tokenizer) -> bool:
+    """Whether the ids of a text are those of its pieces, one after another, and a run of letters ends with a token that ends words."""
+    told = json.loads(tokenizer.to_str())
+    model = told["model"]
+    alone = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in told["added_tokens"])
+    return alone and all(told[k] == v for k, v in PIECEWISE.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
+
+
+class TextEncoder:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer_of(path)
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([0, *map(len, ids)])
+
+
 class WordEncoder:
     """Ids of words, with a cache of at most `most` distinct words: a hash table with linear probing, kept at most half full."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    def __init__(self, path: str, most: int = 1 << 19):
+        self.tokenizer, self.most = tokenizer_of(path), most
+        if not splits_into_pieces(self.tokenizer):
+            raise ValueError(f"{path} does not split texts into pieces as expected")
         self.slots = 1 << (2 * most - 1).bit_length()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether a token ends a run of letters: such runs can share a call, and be told apart after it.
@@ -53,6 +94,10 @@ class WordEncoder:
         self.keys, self.entry, self.count = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32), 0
         self.at, self.size, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
 
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin and end."""
+        return self.encode(self.cut(column))
+
     def cut(self, column: pa.Array) -> Words:
         """The pieces of texts, as words."""
         w = Words(column)
@@ -63,9 +108,11 @@ class WordEncoder:
         letter, plain = (d >= 97) & (d <= 122), (d < 128) & (d != 39) & ~SEPARATOR[d]
         inner = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
         inner[1:] |= _latin(d)[:-1] & (plain & ~letter)[2:]
+        inner[w.offsets[1:-1][(w.offsets[1:-1] > 0) & (w.offsets[1:-1] < len(d))] - 1] = False
         inner = np.flatnonzero(inner) + 1
-        inner = inner[~np.isin(inner, w.offsets)]
-        w.starts, w.ends = np.sort(np.concatenate([w.starts, inner])), np.sort(np.concatenate([w.ends, inner]))
+        w.starts, w.ends = np.concatenate([w.starts, inner]), np.concatenate([w.ends, inner])
+        w.starts.sort(kind="stable")
+        w.ends.sort(kind="stable")
         w.first = np.searchsorted(w.starts, w.offsets)
         return w
 
@@ -153,7 +200,18 @@ def _latin_bytes(d: np.ndarray) -> np.ndarray:
     return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """A worker's encoder; its cache serves all its tasks."""
+    if path not in _encoders:
+        _encoders.clear()
+        try:
+            _encoders[path] = WordEncoder(path)
+        except ValueError:
+            _encoders[path] = TextEncoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str, end_id: int):
@@ -161,10 +219,8 @@ def _encode(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, offset = TaskContext.get().partitionId(), 0
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
         for batch in pieces(batches):
-            ids, cut = _encoders[path].encode(_encoders[path].cut(batch.column("text")))
+            ids, cut = encoder(path).texts(batch.column("text"))
             ids = np.insert(ids, cut[1:], end_id)
             cut = cut + np.arange(len(cut))
             size = np.diff(cut)
@@ -180,7 +236,9 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row_group_bytes: int = 32 << 20, page_rows: int = 256) -> None:
     """Encode every text of `docs` (doc_id, text) and write the files to `path`. `tokenizer`: a file of the tokenizers library."""
     shared.tune(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "place", "text"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("place", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions(*order).drop("place")
     out = rows.mapInArrow(_encode(tokenizer, end_id), _SCHEMA).write.option("compression", "zstd")
     for k, v in {
         "parquet.writer.version": "v2",
@@ -192,6 +250,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, ro
     }.items():
         out = out.option(k, v)
     out.parquet(path)
+    sizes = docs.sparkSession.read.schema(_SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    base = F.sum("size").over(Window.orderBy("part")) - F.col("size")  # a row a file
+    sizes.select("part", base.alias("base")).coalesce(1).write.parquet(f"{path}/_bases")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -199,10 +260,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     The bases are broadcast: two numbers for each file, and files are as many as write_tokens had partitions at most.
     """
-    rows = spark.read.schema(_SCHEMA).parquet(path)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))  # a row a file
-    before = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long"), "ids")
+    rows, bases = spark.read.schema(_SCHEMA).parquet(path), spark.read.schema("part int, base long").parquet(f"{path}/_bases")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long"), "ids")
 
 
 def _checksums(batches):
