@@ -4,7 +4,7 @@
 2. Targets: sources in code point order, null last, get the weights in turn and share `share` times
    all words. No target exceeds `repeats` times its source's words; what is above is shared anew by weight until none is.
 3. A min-cost flow on the small graph of patterns and sources (built on the driver; the number of
-   patterns depends on the number of sources, and over MOST_PATTERNS is an error) routes words from
+   patterns depends on the number of sources, and over MOST_PATTERNS is an error; 20,000 patterns of 50 sources take seconds) routes words from
    patterns to quotas. The first use of a word is free and each further use costs one more, which
    makes the cost convex, so repetition starts only where single use can't fill a quota.
 4. Each pattern's words become documents: all get the whole number of copies, and one copy more goes
@@ -12,17 +12,18 @@
    BUCKETS sums per pattern, so only the one bucket at the cut is ever ordered.
 
 Defined cases: null or empty texts have size 0 and take nothing. A null source is a source of its own. Documents with
-equal ids and sizes are alike to the hash and differ by row only. Other columns are ignored. An empty table gives no rows.
+equal ids and sizes are alike to the hash and differ by row only. Documents whose array of sources is null or empty take nothing. Other columns are ignored, whatever their
+names. An empty table gives no rows. Words of texts of any length are counted whole.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from . import shared
 from .words import Words, pieces
@@ -49,50 +50,83 @@ def targets(sizes: dict[str | None, int], total: int, weights: tuple[int, ...],
 def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[dict[int, int]]:
     """Words from each pattern to each source: as much as the quotas take, at the least cost.
 
-    Cheapest augmenting paths with potentials. Arc r of a pattern (r = 0 .. repeats - 1) carries its supply at cost r.
+    Use r (from 0) of a pattern's words costs r, and nothing else costs anything, so a cheapest augmenting path is one that starts with the least use
+    still open: use 0 of all patterns is opened and the flow made maximal by blocking flows along shortest paths, then use 1, and so on.
     """
     P, S = len(supply), len(quota)
-    start, end = P + S, P + S + 1
-    to, left, cost, out = [], [], [], [[] for _ in range(P + S + 2)]
-
-    def arc(a, b, capacity, price):
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            out[x].append(len(to))
-            to.append(y)
-            left.append(c)
-            cost.append(p)
-
+    sent: list[dict[int, int]] = [{s: 0 for s in members[p]} for p in range(P)]
+    givers: list[list[int]] = [[] for _ in range(S)]
     for p in range(P):
-        for r in range(repeats):
-            arc(start, p, supply[p], r)
-        for s in members[p]:
-            arc(p, P + s, repeats * supply[p], 0)
-    for s in range(S):
-        arc(P + s, end, quota[s], 0)
-    potential = [0] * len(out)
-    while True:
-        far, via, heap = [math.inf] * len(out), [-1] * len(out), [(0, start)]
-        far[start] = 0
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
-                continue
-            for a in out[x]:
-                if left[a] > 0 and (n := d + cost[a] + potential[x] - potential[to[a]]) < far[to[a]]:
-                    far[to[a]], via[to[a]] = n, a
-                    heapq.heappush(heap, (n, to[a]))
-        if via[end] < 0:
-            break
-        potential = [h + (f if f < math.inf else 0) for h, f in zip(potential, far)]
-        path, x = [], end
-        while x != start:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        most = min(left[a] for a in path)
-        for a in path:
-            left[a] -= most
-            left[a ^ 1] += most
-    return [{to[a] - P: left[a ^ 1] for a in out[p] if P <= to[a] < P + S and left[a ^ 1]} for p in range(P)]
+        for s in sent[p]:
+            givers[s].append(p)
+    room, open_ = list(quota), [0] * P
+    for _ in range(repeats):
+        open_ = [o + n for o, n in zip(open_, supply)]
+        while True:
+            # distances of patterns and sources from those patterns that still have words
+            far_p, far_s = [0 if o else -1 for o in open_], [-1] * S
+            front, ends, depth = [p for p in range(P) if open_[p]], False, 0
+            while front and not ends:
+                new = []
+                for p in front:
+                    for s in sent[p]:
+                        if far_s[s] < 0:
+                            far_s[s] = depth + 1
+                            new.append(s)
+                            ends |= room[s] > 0
+                depth, front = depth + 2, []
+                for s in new:
+                    if not ends:
+                        for p in givers[s]:
+                            if far_p[p] < 0 and sent[p][s]:
+                                far_p[p] = depth
+                                front.append(p)
+            if not ends:
+                break
+            from_p, from_s = [_Arcs(own) for own in sent], [_Arcs(own) for own in givers]
+            for start in range(P):
+                while open_[start] and far_p[start] == 0:
+                    path, p = [], start  # pairs (pattern, source), found by a walk that never returns to a dead end
+                    while True:
+                        s = next((s for s in from_p[p] if far_s[s] == far_p[p] + 1), None)
+                        if s is None:
+                            far_p[p] = -2
+                            if not path:
+                                break
+                            p, _ = path.pop()
+                            continue
+                        if room[s]:
+                            path.append((p, s))
+                            break
+                        q = next((q for q in from_s[s] if far_p[q] == far_s[s] + 1 and sent[q][s]), None)
+                        if q is None:
+                            far_s[s] = -2
+                            continue
+                        path.append((p, s))
+                        p = q
+                    if not path:
+                        break
+                    backs = [(path[i + 1][0], path[i][1]) for i in range(len(path) - 1)]
+                    most = min(open_[start], room[path[-1][1]], *(sent[p][s] for p, s in backs))
+                    for p, s in path:
+                        sent[p][s] += most
+                    for p, s in backs:
+                        sent[p][s] -= most
+                    open_[start] -= most
+                    room[path[-1][1]] -= most
+    return [{s: n for s, n in own.items() if n} for own in sent]
+
+
+class _Arcs:
+    """A node's arcs from the one looked at last; it moves on only when asked for more, because that one may have room left."""
+
+    def __init__(self, to):
+        self.to, self.place = list(to), 0
+
+    def __iter__(self):
+        while self.place < len(self.to):
+            yield self.to[self.place]
+            self.place += 1
 
 
 def _placed(rows: DataFrame, seed: int) -> DataFrame:
@@ -101,10 +135,16 @@ def _placed(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("bucket", F.expr("shiftright(key, 48)"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """The rows with sources (an array, from `sources` or `source`) and size (words of text) added."""
-    sources = F.array_sort(F.array_distinct("sources")) if "sources" in docs.columns else F.array(F.col("source").cast("string"))
-    rows = docs.withColumn("sources", sources).withColumn("size", F.lit(0).cast("long"))
+def _membership(docs: DataFrame, sources: str):
+    """The sources of each document as a sorted array; a string column holds one."""
+    if isinstance(docs.schema[sources].dataType, ArrayType):
+        return F.array_sort(F.array_distinct(F.col(sources).cast("array<string>")))
+    return F.array(F.col(sources).cast("string"))
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """The rows with size (words of text) added."""
+    rows = rows.withColumn("size", F.lit(0).cast("long"))
 
     def measure(batches):
         for batch in pieces(batches):
@@ -156,19 +196,19 @@ def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "bucket", "base", "extra", "last", "_pattern")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
-    """doc_id, sources, size, copies, taken, targets and source_sizes (by source of `sources`) of every document of `docs` (doc_id, text, source or sources)."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17, sources: str = "source") -> DataFrame:
+    """doc_id, sources, size, copies, taken, targets and source_sizes (by source of `sources`) of every document of `docs` (doc_id, text and the column named `sources`: a string, or
+    an array of them)."""
     shared.tune(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "sources" if "sources" in docs.columns else "source")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _membership(docs, sources).alias("sources"))
     rows = shared.settle(sized(slim).select("doc_id", "sources", "size"), "sizes")
     return with_copies(rows, mix_plan(rows, weights, share, repeats, seed), seed)
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17, sources: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, each as many times as it is taken."""
     shared.tune(docs.sparkSession)
-    source = "sources" if "sources" in docs.columns else "source"
-    rows = sized(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), source))
+    rows = sized(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), _membership(docs, sources).alias("sources")))
     plan = mix_plan(shared.settle(rows.select("doc_id", "sources", "size"), "sizes"), weights, share, repeats, seed)
     return with_copies(rows, plan, seed).where("copies > 0").select("_row", F.explode(F.expr("sequence(1L, copies)"))).select("_row.*")
 
