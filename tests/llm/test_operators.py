@@ -121,12 +121,47 @@ def test_battery_tells_random_from_text(spark):
 
 
 def test_licenses(spark, docs):
-    said = "Hello.\nReleased under the MIT License.\nfoo " + license_scan.TEMPLATES["Apache-2.0"][1] + " Released under the MIT License."
-    df = spark.createDataFrame([(1, said), (2, None), (3, "a licence to nothing")], "doc_id long, text string")
-    assert [(r.doc_id, r.license) for r in license_scan.license_scan(df).orderBy("start").collect()] == [(1, "MIT"), (1, "Apache-2.0"), (1, "MIT")]
+    gnu = lambda name, version: license_scan._GNU.format(what="Frobnicate", name=name, version=version)
+    bsd, bsd3 = f"{license_scan._BSD} {license_scan._WARRANTY}", f"{license_scan._BSD} {license_scan._ENDORSE} {license_scan._WARRANTY}"
+    said = {
+        "Hello.\nReleased under the MIT License.\nfoo " + license_scan._APACHE + " Released under the MIT License.": ["MIT", "Apache-2.0", "MIT"],
+        license_scan._MIT.replace("Software", "Programme"): ["MIT"],
+        bsd: ["BSD-2-Clause"], bsd3: ["BSD-3-Clause"], bsd3 + " " + bsd: ["BSD-3-Clause", "BSD-2-Clause"],
+        gnu("General Public License", 2): ["GPL-2.0"], gnu("General Public License", 3): ["GPL-3.0"], gnu("Lesser General Public License", 3): ["LGPL-3.0"], gnu("Affero General Public License", 3): ["AGPL-3.0"], gnu("Library General Public License", 2): [],
+        "Licensed under CC BY 4.0. Licensed under CC BY-ND 4.0, Licensed under CC BY-NC-SA 4.0": ["CC-BY-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0"],
+        "Released under the BSD License. it was released under the same license as before; released under the GPL license": [], "Licensed under CC BY 2.0": [], "a licence to nothing": [],
+        "x y " * 40_000 + license_scan._ISC: ["ISC"], "": [],
+    }
+    df = spark.createDataFrame([*enumerate(said), (99, None)], "doc_id long, text string")
+    found = license_scan.license_scan(df.unionByName(df.where("doc_id = 1"))).orderBy("doc_id", "start").collect()
+    want = [(i, name) for i, names in enumerate(said.values()) for name in (names * 2 if i == 1 else names)]
+    assert [(r.doc_id, r.license) for r in found] == want
+    assert all(list(said)[r.doc_id][r.start : r.end].split()[0] for r in found) and (found[0].start, found[0].end) == (7, 37)
     assert license_scan.align("a b c d".split(), "b x c a d".split()) == [(1, 0), (2, 2), (3, 4)]
 
 
+def test_license_postings_miss_nothing(spark):
+    """Against the alignment of every template with every stretch, on templates that are torn up to the threshold."""
+    rng = np.random.default_rng(6)
+    known, said = license_scan.Templates(license_scan.templates(), 0.8), []
+    long_ = [(name, own) for name, own, *_ in known.all if len(own) > license_scan.SHORT]
+    for name, own in long_ * 3:
+        words = list(own)
+        for _ in range(rng.integers(0, len(own) // 4)):
+            i = rng.integers(0, len(words))
+            words[i : i + 1] = [[], [-1], [words[i], -1]][rng.integers(0, 3)]
+        said.append(np.array([-1] * rng.integers(0, 200) + words + [-1] * 50))
+    for words in said:
+        plain = []
+        for name, own, need, count, must, bar in known.all:
+            if len(own) > license_scan.SHORT:
+                m = license_scan._dense(license_scan.align(words.tolist(), own), 2 * len(own))
+                if m and min(len(m) / len(own), len(m) / (m[-1][0] - m[0][0] + 1)) >= 0.8 and must <= {own[j] for _, j in m} and not bar & set(words[m[0][0] : m[-1][0] + 1].tolist()):
+                    plain.append(name)
+        got = [x[2] for x in known.find(words)]
+        assert bool(got) == bool(plain) and set(got) <= set(plain)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)

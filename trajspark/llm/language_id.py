@@ -1,20 +1,22 @@
 """Language ID with interpolated Kneser-Ney character models in sorted hash arrays.
 
-Training takes a bounded sample of labelled rows (at most SAMPLE_DOCS documents, shared out over the languages, of each the
-first SAMPLE_CHARS characters) and runs on the driver; four fifths of it give the counts, one fifth calibrates. Every
+Training takes a bounded sample of labelled rows (about SAMPLE_DOCS documents, shared out over the languages, whole texts of at most
+MOST_BYTES; a language without any such text gives its shortest) and runs on the driver; four fifths of it give the counts, one fifth calibrates. Every
 language has its own model: absolute discounting, the highest order on counts, lower ones on continuation counts,
 interpolated down to a uniform distribution. The models of all languages are stored together: for each order one sorted array of
 n-gram hashes with a row of log-probabilities, a column a language, and one of contexts with log backoff weights.
 A character costs one binary search where its n-gram is known, and another order's two where it isn't.
 
 A text goes to the language with the lowest cross-entropy a character (ties: to the first in code point order). It
-is rejected if it is null, has no letter, or if that cross-entropy exceeds the bound for its language and length,
-which the calibration sets: mean + REJECT_SIGMAS deviations, wider for texts shorter than calibration's.
+is rejected if it is null, has no letter, or if that cross-entropy is too high for its language and length. Calibration cuts
+held-out texts to stretches of LENGTHS characters; a bound is the language's median at that length plus REACH times the distance from the medians to
+the QUANTILE of all languages' stretches, interpolated between lengths by their logarithms.
 
-Whole texts are scored, lower-cased, each stretch of characters that are no letters as one space.
+Whole texts are scored, lower-cased, each stretch of characters that are no letters as one space; texts of over STRETCH bytes in stretches of about
+that size, cut at white space and added up.
 
 Defined cases: null, empty and letterless texts get `und` with score 0 and are rejected. Without one labelled row all
-texts get `und`. Repeated rows get equal results. Other columns are ignored. An empty table gives no rows.
+texts get `und`. Over MOST_LANGUAGES labels are an error. Repeated rows get equal results. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import mix, pieces, texts
+from .words import SEPARATOR, mix, pieces, texts
 
 ORDER = 5
 SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 2500
-MOST_LANGUAGES = 200
-REJECT_SIGMAS = 12.0
+MOST_BYTES = 50_000
+MOST_LANGUAGES = 500
+LENGTHS = tuple(8 << i for i in range(9))  # 8 to 2048 characters
+QUANTILE, REACH = 0.99, 5.0
+STRETCH = 1 << 19
 SHARPNESS = 8.0
 _B = 0x9E3779B97F4A7C15
 _space = ord(" ")
@@ -65,19 +69,41 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[keep], np.concatenate([[0], np.cumsum(keep)])[cut]
 
 
-def gram_hashes(codes: np.ndarray, order: int, cut: np.ndarray) -> np.ndarray:
-    """The hash of the last `order` characters up to each place; what lies before a text counts as 0."""
+def gram_hashes(codes: np.ndarray, order: int, place: np.ndarray) -> np.ndarray:
+    """The hash of the last `order` characters up to each one; `place` is its place in its text, and what lies before a text counts as 0."""
     h = codes.astype(np.uint64) + np.uint64(1)
     total = h.copy()
-    place = np.arange(len(codes)) - np.repeat(cut[:-1], np.diff(cut))
-    for back in range(1, order):
+    for back in range(1, min(order, len(h))):
         shifted = np.zeros(len(h), np.uint64)
-        shifted[back:] = h[:-back] if back < len(h) else 0
+        shifted[back:] = h[:-back]
         shifted[place < back] = 0
         total += shifted * np.uint64(pow(_B, back, 1 << 64))
     return mix(total + np.uint64(order))
 
 
+def places(cut: np.ndarray) -> np.ndarray:
+    return np.arange(cut[-1]) - np.repeat(cut[:-1], np.diff(cut))
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets with further cuts inside texts of over `most` bytes, after white space where there is some, and the text of each part."""
+    if not len(offsets) > 1 or np.diff(offsets).max() <= most:
+        return offsets, np.arange(len(offsets) - 1)
+    cuts, of = [0], []
+    for i, (a, z) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+        while z - a > most:
+            spaces = np.flatnonzero(SEPARATOR[data[a + most // 2 : a + most]])
+            b = a + most // 2 + int(spaces[-1]) + 1 if len(spaces) else a + most
+            while b < z and data[b] & 0xC0 == 0x80:
+                b += 1
+            cuts.append(b)
+            of.append(i)
+            a = b
+        cuts.append(z)
+        of.append(i)
+    return np.array(cuts), np.array(of)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -86,15 +112,16 @@ class Model:
     contexts: list[np.ndarray]
     backoffs: list[np.ndarray]
     floor: float
-    bounds: np.ndarray | None = None  # by language: mean, deviation and usual length
+    medians: np.ndarray | None = None  # by language and length
+    spread: np.ndarray | None = None  # by length
 
-    def score(self, codes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    def score(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Log-probability of each character under each language."""
         out = np.zeros((len(codes), len(self.languages)), np.float32)
         open_ = np.arange(len(codes))
+        hashes = gram_hashes(codes, ORDER, place)
         for order in range(ORDER, 0, -1):
-            h = gram_hashes(codes, order, cut)[open_] if order == ORDER or len(open_) else np.zeros(0, np.uint64)
-            keys = self.keys[order - 1]
+            keys, h = self.keys[order - 1], hashes[open_]
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             known = keys[at] == h
             out[open_[known]] += self.logs[order - 1][at[known]]
@@ -102,8 +129,8 @@ class Model:
             if not len(open_):
                 break
             if order > 1:
-                before = gram_hashes(codes, order - 1, cut)
-                context = np.where(open_ > 0, before[open_ - 1], np.uint64(0))
+                hashes = gram_hashes(codes, order - 1, place)
+                context = np.where(open_ > 0, hashes[open_ - 1], np.uint64(0))
                 keys = self.contexts[order - 1]
                 at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
                 known = keys[at] == context
@@ -112,17 +139,65 @@ class Model:
                 out[open_] += np.float32(self.floor)
         return out
 
-    def entropies(self, codes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Cross-entropy a character of each text under each language; the leading space isn't predicted."""
-        logs = self.score(codes, cut).astype(np.float64)
-        logs[cut[:-1]] = 0
-        total = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
-        return (total[cut[:-1]] - total[cut[1:]]) / np.maximum(np.diff(cut) - 1, 1)[:, None]
+    def totals(self, codes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Minus log-probability of each text under each language; the leading space isn't predicted."""
+        place, out = places(cut), np.zeros((len(cut) - 1, len(self.languages)))
+        if len(codes):
+            logs = self.score(codes, place).astype(np.float64)
+            logs[place == 0] = 0
+            some = np.flatnonzero(np.diff(cut) > 0)
+            out[some] = -np.add.reduceat(logs, cut[some], axis=0)
+        return out
+
+    def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: cross-entropy a character under each language, characters, and whether it has a letter."""
+        parts, of = stretches(data, offsets, STRETCH)
+        n = len(offsets) - 1
+        total, size, spoken = np.zeros((n, len(self.languages))), np.zeros(n, np.int64), np.zeros(n, bool)
+        first = 0
+        while first < len(of):
+            last = max(first + 1, int(np.searchsorted(parts, parts[first] + STRETCH, "right")) - 1)
+            codes, cut = letters(data[parts[first] : parts[last]], parts[first : last + 1] - parts[first])
+            np.add.at(total, of[first:last], self.totals(codes, cut))
+            np.add.at(size, of[first:last], np.maximum(np.diff(cut) - 1, 0))
+            count = np.concatenate([[0], np.cumsum(codes != _space)])
+            np.logical_or.at(spoken, of[first:last], count[cut[1:]] > count[cut[:-1]])
+            first = last
+        return total / np.maximum(size, 1)[:, None], size, spoken
+
+    def bounds(self, language: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The highest cross-entropy that is accepted, by language and number of characters."""
+        at = np.log(np.clip(size, LENGTHS[0], LENGTHS[-1]))
+        limits = self.medians + REACH * self.spread
+        return np.array([np.interp(x, np.log(LENGTHS), limits[i]) for i, x in zip(language, at)]) if len(at) else np.zeros(0)
+
+    def calibrate(self, held: list[list[str]]) -> None:
+        """Set the bounds from held-out texts of each language."""
+        self.medians = np.zeros((len(held), len(LENGTHS)))
+        away: list[list[np.ndarray]] = [[] for _ in LENGTHS]
+        for i, ts in enumerate(held):
+            raw = [t.encode("utf-8", "replace") for t in ts]
+            codes, cut = letters(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            place = places(cut)
+            logs = -self.score(codes, place)[:, i].astype(np.float64)
+            for j, size in reversed(list(enumerate(LENGTHS))):
+                spans = [logs[a + 1 + k : min(a + 1 + k + size, z)] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()) for k in range(0, max(1, z - a - 1), size)]
+                h = np.array([x.mean() for x in spans if 2 * len(x) >= size])
+                if not len(h):
+                    h = np.array([x.mean() for x in spans if len(x)] or [-self.floor])
+                self.medians[i, j] = np.median(h)
+                away[j].append(h - self.medians[i, j])
+        spread: list[float] = []
+        for found in map(np.concatenate, away):  # a length with too few stretches for the quantile takes that of the next shorter
+            enough = len(found) * (1 - QUANTILE) >= 1 or not spread
+            spread.append(max(0.1, float(np.quantile(found, QUANTILE))) if enough else spread[-1])
+        self.spread = np.array(spread)
 
 
 def _one_language(codes: np.ndarray, cut: np.ndarray, size: int) -> tuple[list, list]:
     """Of each order: (hashes, log-probabilities, hashes of context, of suffix), and (context hashes, log backoffs)."""
-    hashes = [gram_hashes(codes, n, cut) for n in range(1, ORDER + 1)]
+    place = places(cut)
+    hashes = [gram_hashes(codes, n, place) for n in range(1, ORDER + 1)]
     inside = np.ones(len(codes), bool)
     inside[cut[:-1]] = False
     grams, contexts = [None] * ORDER, [None] * ORDER
@@ -184,29 +259,26 @@ def train(samples: list[tuple[str, list[str]]]) -> Model | None:
         contexts.append(known)
         backoffs.append(back)
     model = Model([lang for lang, _ in samples], keys, logs, contexts, backoffs, float(floor))
-    bounds = []
-    for i, (_, ts) in enumerate(samples):
-        held = [t.encode("utf-8", "replace") for t in ts[::5]] or [t.encode("utf-8", "replace") for t in ts]
-        codes, cut = letters(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]))
-        some = np.diff(cut) > 1
-        h = model.entropies(codes, cut)[some, i] if some.any() else np.zeros(1)
-        bounds.append((h.mean(), max(h.std(), 0.05), float(np.median(np.diff(cut)))))
-    model.bounds = np.array(bounds)
+    model.calibrate([ts[::5] for _, ts in samples])
     return model
 
 
 def fit(labelled: DataFrame) -> Model | None:
     """Train on a bounded sample of `labelled` (doc_id, text, lang): of each language about as many documents, those with the least hashes."""
-    counts = {r[0]: r[1] for r in labelled.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    short = (F.octet_length("text") > 0) & (F.octet_length("text") <= MOST_BYTES)
+    spoken = labelled.where("lang IS NOT NULL AND octet_length(text) > 0")
+    known = spoken.groupBy("lang").agg(F.count_if(short).alias("n"), F.min(F.octet_length("text")).alias("least")).limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    if not known:
         return None
-    each = max(5, SAMPLE_DOCS // len(counts))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_007))
-    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * each / n + 20 / n) * 1_000_000_007))) for lang, n in counts.items()], F.lit(0))
-    rows = labelled.where(place < bound).select("lang", F.substring("text", 1, SAMPLE_CHARS), place.alias("place"), "doc_id").collect()
+    each = max(5, SAMPLE_DOCS // len(known))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_000_007))
+    wanted = [F.when((F.col("lang") == lang) & (short if n else F.octet_length("text") == least), place < int(min(1.0, 1.5 * each / max(n, 1) + 20 / max(n, 1)) * 1_000_000_007)) for lang, n, least in known]
+    rows = spoken.where(F.coalesce(*wanted, F.lit(False))).select("lang", "text", place.alias("place"), "doc_id").collect()
     by: dict[str, list[str]] = {}
-    for lang, text, _, _ in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
-        if text and len(by.setdefault(lang, [])) < each:
+    for lang, text, _, _ in sorted(rows, key=lambda r: (r[0], r[2], str(r[3]), r[1])):
+        if len(by.setdefault(lang, [])) < each:
             by[lang].append(text)
     return train(list(by.items()))
 
@@ -218,20 +290,15 @@ def _predict(shipped):
     def predict(batches):
         model = shipped.value
         for batch in pieces(batches):
-            codes, cut = letters(*texts(batch.column("text")))
             n = batch.num_rows
-            count = np.concatenate([[0], np.cumsum(codes != _space)])
-            spoken = count[cut[1:]] > count[cut[:-1]]
             if model is None:
-                best, score, least, rejected, names = np.zeros(n, int), np.zeros(n), np.zeros(n), np.ones(n, bool), ["und"]
+                best, score, least, rejected, spoken, names = np.zeros(n, int), np.zeros(n), np.zeros(n), np.ones(n, bool), np.zeros(n, bool), ["und"]
             else:
-                h = model.entropies(codes, cut)
+                h, size, spoken = model.entropies(*texts(batch.column("text")))
                 best = h.argmin(axis=1)
                 least = h[np.arange(n), best]
                 score = np.where(spoken, 1.0 / np.exp(-SHARPNESS * (h - least[:, None])).sum(axis=1), 0.0)
-                mean, deviation, usual = model.bounds[best].T
-                size = np.maximum(np.diff(cut) - 1, 1)
-                rejected = ~spoken | (least > mean + REJECT_SIGMAS * deviation * np.sqrt(np.maximum(1, usual / size)))
+                rejected = ~spoken | (least > model.bounds(best, size))
                 names = model.languages
             lang = [names[i] if s else "und" for i, s in zip(best, spoken)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(least), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])

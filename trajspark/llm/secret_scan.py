@@ -1,19 +1,23 @@
 """Secret scan: fixed patterns, and a randomness test battery for whatever else looks generated.
 
 Built from SQL functions only. Base spans are the leftmost non-overlapping matches of three patterns. The
-battery adds spans: every run of 20 or more key characters that overlaps no base span is a candidate. The candidate's
-encoding is inferred from its characters, which gives its alphabet, and three statistics say how far it
+battery adds spans. Candidates are runs of LEAST or more letters and digits, and longer runs that have the shape of base64: upper and lower case, digits, and
+at most one separator in ten characters (paths, slugs and identifiers have more, so their parts are candidates by themselves, if long enough). What a base span covers
+is cut out of them. A candidate's encoding is inferred from its characters, which gives its alphabet, and three statistics say how far it
 is from uniform random characters of it: chi-squared over the alphabet, the number of runs above and below the alphabet's middle,
 and the lag-1 serial correlation.
 
-A discovery claims randomness, so each test's null hypothesis is structure (an equivalence test): chi-squared at least as
-large as text of that length has it (noncentral, normal approximation), runs and correlation at least STRAY standard
-deviations a square root of length off. A candidate's p-value is the largest of the three. Short strings can't reject.
-False discoveries over the whole corpus are held to ALPHA by Benjamini and Hochberg's rule on p-values weighted by length
-(longer candidates weigh more, weights average about 1), on counts in BINS bins of log p rather than on a total order.
+A discovery claims randomness, so each test's null hypothesis is structure (an equivalence test), and a candidate's p-value is the largest of the three:
+
+* chi-squared is at least as large as a source with the index of coincidence COINCIDENCE has it: with k symbols it exceeds chance by
+  k * COINCIDENCE - 1 for each character (noncentral, normal approximation; its left tail is lighter, so the p-value is an upper bound);
+* runs and serial correlation are at least STRAY standard deviations a square root of length off, as in padded, repeated or ascending strings.
+
+Short strings can't reject. False discoveries over the whole corpus are held to ALPHA by Benjamini and Hochberg's rule on p-values weighted by length
+(longer candidates weigh more, weights average 1), on counts in BINS bins of log p rather than on a total order.
 
 Positions are code points, ends exclusive. Defined cases: null counts as empty; empty texts give no
-spans, and the hash of an empty list. Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows.
+spans, and the hash of an empty list. Texts of any length are searched whole. Repeated rows give repeated results. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,25 +31,33 @@ from . import shared
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+PLAIN = rf"[A-Za-z0-9]{{{LEAST},}}"
+MIXED = rf"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{{{LEAST},}}|[A-Za-z0-9_-]{{{LEAST},}})(?==*(?:[^A-Za-z0-9+/_=-]|$))"
 KINDS = ("assign", "access", "hex", "random")
 
-# Name, pattern, alphabet, and structure: chi-squared a character that ordinary text of this encoding has beyond chance.
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The index of coincidence (the sum of squared symbol frequencies) of ordinary strings: of English letters; of numbers and dates, where few digits prevail.
+LETTERS, NUMBERS = 0.065, 0.16
+# Name, pattern, alphabet, index of coincidence; the first that matches counts.
 ENCODINGS = (
-    ("decimal", r"^[0-9]+$", "0123456789", 0.5),
-    ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 1.0),
-    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF", 1.0),
-    ("lower", r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.7),
-    ("upper", r"^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.7),
-    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
-    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.4),
-    ("BASE36", r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.4),
-    ("letters", r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 2.4),
-    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 3.2),
+    ("decimal", r"^[0-9]+$", _DIGITS, NUMBERS),
+    ("hex", r"^[0-9a-f]+$", _DIGITS + _LOWER[:6], NUMBERS),
+    ("HEX", r"^[0-9A-F]+$", _DIGITS + _UPPER[:6], NUMBERS),
+    ("lower", r"^[a-z]+$", _LOWER, LETTERS),
+    ("upper", r"^[A-Z]+$", _UPPER, LETTERS),
+    ("base32", r"^[A-Z2-7]+$", _UPPER + _DIGITS[2:8], LETTERS),
+    ("base36", r"^[0-9a-z]+$", _DIGITS + _LOWER, LETTERS),
+    ("BASE36", r"^[0-9A-Z]+$", _DIGITS + _UPPER, LETTERS),
+    ("letters", r"^[A-Za-z]+$", _UPPER + _LOWER, LETTERS),
+    ("base62", r"^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, LETTERS),
+    ("base64", r"^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/", LETTERS),
+    ("base64url", r"", _UPPER + _LOWER + _DIGITS + "-_", LETTERS),
 )
 ALPHA = 0.01
 STRAY = 0.8
 BINS = 2000
+BLOCK = 256
 
 
 def _matches(text: str, pattern: str) -> list[tuple[str, Column]]:
@@ -58,20 +70,22 @@ def with_spans(df: DataFrame, text: str, pattern: str, out: str, keep: str | Non
     """Add an array of (start, end, match) of all leftmost non-overlapping matches; `keep` is an SQL condition on `m`."""
     for name, column in _matches(text, pattern):
         df = df.withColumn(name, column)
-    # each match with the length of what lies before it; a fold turns lengths into positions
+    # each match with the length of what lies before it; a fold turns lengths into positions, BLOCK matches at a time, because it copies what it has
+    at = lambda x: x["gap"] + F.length(x["m"])
+    kind = "array<struct<start:int,end:int,m:string>>"
     steps = F.transform("_m", lambda m, i: F.struct(F.length(F.get("_g", i)).alias("gap"), m.alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("spans"))
-    folded = F.aggregate(
-        steps,
-        empty,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("spans"),
-        ),
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_m") - 1) / BLOCK).cast("int")), lambda i: F.slice("_s", i * BLOCK + 1, BLOCK))
+    before = lambda i: F.aggregate(F.slice("_n", F.lit(1), i), F.lit(0), lambda acc, x: acc + x)
+    fold = lambda block, i: F.aggregate(
+        block,
+        F.struct(before(i).alias("at"), F.array().cast(kind).alias("spans")),
+        lambda acc, x: F.struct((acc["at"] + at(x)).alias("at"), F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + at(x)).alias("end"), x["m"].alias("m")))).alias("spans")),
         lambda acc: acc["spans"],
     )
+    df = df.withColumn("_s", steps).withColumn("_b", F.when(F.size("_m") > 0, blocks)).withColumn("_n", F.transform("_b", lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + at(x))))
+    folded = F.flatten(F.transform("_b", fold))
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    df = df.withColumn(out, F.when(F.size("_m") > 0, folded).otherwise(none)).drop("_m", "_g")
+    df = df.withColumn(out, F.when(F.size("_m") > 0, folded).otherwise(none)).drop("_m", "_g", "_s", "_b", "_n")
     return df.withColumn(out, F.expr(f"filter({out}, s -> {keep})")) if keep else df
 
 
@@ -84,7 +98,7 @@ def _normal(z: Column) -> Column:
 def battery(candidates: DataFrame, value: str = "m") -> DataFrame:
     """Add encoding, chi_squared, runs_z, serial_z and p (the evidence against structure) for strings in a column."""
     pick = lambda i: F.coalesce(*[F.when(F.col(value).rlike(e[1]), F.lit(e[i])) for e in ENCODINGS[:-1]], F.lit(ENCODINGS[-1][i]))
-    df = candidates.select("*", pick(0).alias("encoding"), pick(2).alias("_alphabet"), pick(3).cast("double").alias("_structure"), F.length(value).cast("double").alias("n"), F.split(value, "").alias("_chars"))
+    df = candidates.select("*", pick(0).alias("encoding"), pick(2).alias("_alphabet"), (F.length(pick(2)) * pick(3) - 1).alias("_structure"), F.length(value).cast("double").alias("n"), F.split(value, "").alias("_chars"))
     df = df.withColumn("_x", F.expr("transform(_chars, c -> cast(locate(c, _alphabet) as double))"))
     df = df.withColumn("_k", F.length("_alphabet").cast("double"))
     squares = F.expr(f"aggregate(array_distinct(_chars), 0D, (a, c) -> a + pow(n - length(replace({value}, c, '')), 2))")
@@ -103,9 +117,10 @@ def battery(candidates: DataFrame, value: str = "m") -> DataFrame:
 
 def discoveries(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """The rows that Benjamini and Hochberg's rule keeps, on p-values weighted by length n."""
-    mean = tested.agg(F.avg("n").alias("_usual"), F.count("*").alias("_all"))
+    weight = F.greatest(F.lit(8.0), F.least(F.lit(128.0), F.col("n")))
+    mean = tested.agg(F.avg(weight).alias("_usual"), F.count("*").alias("_all"))
     weighed = tested.crossJoin(F.broadcast(mean))  # one row
-    weight = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.col("n") / F.col("_usual")))
+    weight = weight / F.col("_usual")
     bin_ = F.least(F.lit(BINS), F.floor(-20 * F.log(F.least(F.lit(1.0), F.col("p") / weight)))).cast("int")
     weighed = weighed.withColumn("_bin", bin_)
     counts = weighed.groupBy("_bin", "_all").agg(F.count("*").alias("_in"))
@@ -122,10 +137,18 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     df = with_spans(df, "text", ASSIGN, "assign", keep=f"length(regexp_extract(s.m, '{_quoted(ASSIGN)}', 2)) >= 12")
     df = with_spans(df, "text", ACCESS, "access", keep="length(s.m) >= 18")
     df = with_spans(df, "text", HEX, "hex")
-    df = with_spans(df, "text", RUN, "random")
+    shape = " AND ".join(f"s.m rlike '{c}'" for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    df = with_spans(df, "text", MIXED, "mixed", keep=f"{shape} AND 10 * length(regexp_replace(s.m, '[A-Za-z0-9]', '')) <= length(s.m)")
+    df = with_spans(df, "text", PLAIN, "random")
     base = F.concat(*[F.transform(k, _named(i)) for i, k in enumerate(KINDS[:3])])
     df = df.withColumn("base", F.array_sort(base))
-    df = df.withColumn("random", F.expr("filter(random, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end))"))
+    df = df.withColumn("random", F.expr("concat(mixed, filter(random, c -> NOT exists(mixed, b -> b.start <= c.start AND c.end <= b.end)))"))
+    # what no base span covers: from a candidate's start, or a base span's end within it, to the next base span or the candidate's end
+    rest = """flatten(transform(random, c -> filter(transform(
+        array_distinct(concat(array(c.start), transform(filter(base, b -> c.start < b.end AND b.end < c.end), b -> b.end))),
+        s -> struct(s AS start, coalesce(array_min(transform(filter(base, b -> s <= b.start AND b.start < c.end), b -> b.start)), c.end) AS end, c.m AS m, c.start AS at)),
+        x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))))"""
+    df = df.withColumn("random", F.expr(f"filter(transform({rest}, x -> struct(x.start AS start, x.end AS end, substring(x.m, x.start - x.at + 1, x.end - x.start) AS m)), x -> length(x.m) >= {LEAST})"))
     df = shared.settle(df.select("_row", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], "base", "random"), "secrets")
     candidates = df.select("_row", F.explode("random").alias("c")).select("_row", "c.start", "c.end", "c.m")
     tested = shared.settle(battery(candidates).drop("m"), "battery")

@@ -105,24 +105,24 @@ def release() -> None:
 class Words:
     """The words of a string column: word i is data[starts[i]:ends[i]]; document d has words first[d] to first[d + 1]."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR):
         self.data, self.offsets = texts(column)
         if lower:
             self.data = LOWER[self.data]
         data, n, starts, ends = self.data, len(self.data), [], []
         for a in range(0, n, _STRETCH):
             word = np.empty(min(_STRETCH, n - a) + 1, bool)
-            word[0] = a > 0 and not SEPARATOR[data[a - 1]]
-            np.logical_not(SEPARATOR[data[a : a + _STRETCH]], out=word[1:])
+            word[0] = a > 0 and not separator[data[a - 1]]
+            np.logical_not(separator[data[a : a + _STRETCH]], out=word[1:])
             turns = np.flatnonzero(word[1:] != word[:-1])
             begins = word[turns + 1]
             starts.append(turns[begins] + a)
             ends.append(turns[~begins] + a)
-        if n and not SEPARATOR[data[-1]]:
+        if n and not separator[data[-1]]:
             ends.append(np.array([n]))
         inner = np.unique(self.offsets[1:-1])
         inner = inner[(inner > 0) & (inner < n)]
-        inner = inner[~(SEPARATOR[data[inner - 1]] | SEPARATOR[data[inner]])]  # no word reaches over the end of its text
+        inner = inner[~(separator[data[inner - 1]] | separator[data[inner]])]  # no word reaches over the end of its text
         self.starts, self.ends = (np.concatenate([*x, inner]).astype(np.int64) for x in (starts, ends))
         if len(inner):
             self.starts.sort()
