@@ -267,7 +267,10 @@ def _meet(k: int, copies: int, cells: int = 1 << 20):
             np.add.at(seen, (row, np.searchsorted(home, lists, "right")), -1)
             seen = np.cumsum(seen[:, :-1], axis=1, dtype=np.int8) > 0
             query, at, score = top(q[a : a + size], own[a : a + size], v, ids, seen, k * copies if len(np.unique(ids)) < len(ids) else k)
-            out.append(_answers(own[a : a + size][query], ids[at], score))
+            new = np.append(True, (query[1:] != query[:-1]) | (ids[at][1:] != ids[at][:-1]))[: len(query)]  # copies of a vector stand together
+            query, at, score = query[new], at[new], score[new]
+            best = np.arange(len(query)) - np.searchsorted(query, query) < k
+            out.append(_answers(own[a : a + size][query[best]], ids[at[best]], score[best]))
         return pa.concat_tables(out)
 
     return meet
