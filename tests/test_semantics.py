@@ -170,3 +170,99 @@ def test_small_pieces(spark):
     with pytest.raises(Exception, match="must be"):
         quality.require(df, F.col("id") > 5, "must be over 5").collect()
     assert one(metrics.rates(spark.createDataFrame([], "parsed boolean, type_ok boolean, ok boolean"))).full_match == 0.0
+
+
+def number(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def message(*parts):
+    """A protobuf message of (field, bytes or int)."""
+    return b"".join(number(n << 3 | 2) + number(len(v)) + v if isinstance(v, bytes) else number(n << 3) + number(v & (1 << 64) - 1) for n, v in parts)
+
+
+def forest(*nodes):
+    return message((1, message((3, 1), (11, message(*[(1, n) for n in nodes])))))
+
+
+def screen_node(box, text="", click=0, visible=1, depth=1):
+    return message((1, 9), (2, message(*[(i + 1, v) for i, v in enumerate(box)])), (3, b"android.widget.Button"), (7, text.encode()), (10, b"app:id/send"), (14, click), (23, visible), (27, depth))
+
+
+def binary_record(episode, actions_, forests, instructions):
+    lists = lambda k, values: message((k, message(*[(1, v) for v in values])))
+    entry = lambda name, k, values: (1, message((1, name.encode()), (2, lists(k, values))))
+    n = len(actions_)
+    feats = [entry("episode_id", 3, [episode]), entry("goal", 1, ["Send é".encode()]), entry("actions", 1, actions_), entry("accessibility_trees", 1, forests), entry("step_instructions", 1, instructions), entry("screenshot_widths", 3, [1000] * n), entry("screenshot_heights", 3, [2000] * n)]
+    return records.frame(message((1, message(*feats))))
+
+
+def test_binary_shards_to_native_steps(spark, tmp_path):
+    """Shards, forests, step rows, element targets, and both later schemas, end to end."""
+    button = forest(screen_node((100, 100, 300, 300), "Send", click=1), screen_node((0, 0, 1000, 2000), "", visible=1), screen_node((-50, 0, -1, 10), "off", click=1), screen_node((1, 1, 5, 5), "tiny"))
+    said = [b'{"action_type": "click", "x": 200, "y": 200}', b"{bad", b'{"action_type": "scroll", "direction": "DOWN"}']
+    (tmp_path / "a.gz").write_bytes(gzip.compress(binary_record(7, said, [button, button, b"\xff\xff"], [b"tap send", b"", b"go down"])))
+    (tmp_path / "b.gz").write_bytes(gzip.compress(binary_record(8, said[:1], [button], [b"tap"])))
+    spark.dataSource.register(records.RecordSource)
+    for path in (str(tmp_path), f"{tmp_path}/*.gz", f"file://{tmp_path}"):
+        found = spark.read.format("feature_records").option("path", path).option("verify", "true").load()
+        assert found.count() == 2
+    rows = steps.explode_binary(steps.from_features(found)).orderBy("episode_id", "step_index").collect()
+    assert [(r.episode_id, r.step_index, r.total_steps, r.goal, r.action.action, r.drop_reason) for r in rows] == [(7, 0, 3, "Send é", "tap", None), (7, 1, 3, "Send é", "wait", "bad_action"), (7, 2, 3, "Send é", "scroll", None), (8, 0, 1, "Send é", "tap", None)]
+    assert [n.text for n in rows[0].a11y] == ["Send", "tiny"] and rows[0].a11y[0].bbox == [0.1, 0.05, 0.3, 0.15] and rows[0].a11y[0].view_id_resource_name == "send" and rows[2].a11y == []
+    good = quality.kept(steps.explode_binary(steps.from_features(found)))
+    native = steps.native(good)
+    assert {(r.episode_id, r.step_index, r.drop_reason, r.action.element_id) for r in native.collect()} == {(7, 0, None, 1), (7, 2, "no_a11y", None), (8, 0, None, 1)}
+    assert {r.counter: r.n for r in steps.native_counters(native).collect()} == {"tap_matched": 2, "no_a11y": 1}
+    kept = quality.kept(native)
+    v3 = steps.to_v3(steps.to_v2(kept.withColumn("prompt", text.element_prompt(F.col("instruction"), F.col("elements"))))).orderBy("episode_id").collect()
+    assert [r.target for r in v3] == ['{"action_type": "tap", "action_args": {"element_id": 1}}'] * 2 and "Previous action: <none>" in v3[0].prompt and "  1: Send" in v3[0].prompt
+    spoiled = bytearray(binary_record(7, said, [button] * 3, [b"a"] * 3))
+    spoiled[40] ^= 1
+    (tmp_path / "a.gz").write_bytes(gzip.compress(bytes(spoiled)))
+    with pytest.raises(Exception, match="wrong checksum"):
+        spark.read.format("feature_records").option("path", str(tmp_path)).option("verify", "true").load().collect()
+
+
+def test_checksum_is_the_published_one():
+    crc = (records.checksum(b"123456789") - 0xA282EAD8) & 0xFFFFFFFF
+    assert (crc << 15 | crc >> 17) & 0xFFFFFFFF == 0xE3069283
+
+
+def test_convert_agent_runs(spark, tmp_path):
+    import pickle
+
+    from trajspark.sources import convert
+
+    run = tmp_path / "run_1"
+    run.mkdir()
+    episode = {"is_successful": 1.0, "exception_info": None, "run_time": 2.0, "episode_length": 3, "episode_data": {"action_output": ["x"], "action_output_json": [{"action_type": "status", "goal_status": "complete"}]}}
+    (run / "SystemWifiTurnOn.pkl.gz").write_bytes(gzip.compress(pickle.dumps([episode, episode | {"task_template": "Other"}])))
+    assert convert.convert(str(tmp_path), str(tmp_path / "runs.jsonl")) == 2
+    assert sorted(r.task_template for r in files.agent_runs(spark, str(tmp_path)).collect()) == ["Other", "SystemWifiTurnOn"]
+    (run / "bad.pkl.gz").write_bytes(gzip.compress(pickle.dumps([{"x": gzip.GzipFile}])))
+    with pytest.raises(pickle.UnpicklingError):
+        convert.convert(str(tmp_path), str(tmp_path / "again.jsonl"))
+
+
+def test_quantiles_and_running_over_ranges(spark):
+    """Ranges of values don't change what one ordered window gives, ties and nulls included."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), float(rng.randint(0, 40)), rng.random() < 0.5 if rng.random() < 0.9 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, run string, v double, ok boolean")
+    for by in ([], ["run"]):
+        got = {(tuple(r[k] for k in by), r.p): r.value for r in spatial.quantiles(df, "v", (0.0, 0.5, 0.95, 1.0), by, parts=7).collect()}
+        for group in [()] if not by else [("a",), ("b",)]:
+            v = sorted(r[2] for r in rows if not group or r[1] == group[0])
+            assert all(got[group, p] == v[min(len(v) - 1, int(len(v) * p))] for p in (0.0, 0.5, 0.95, 1.0))
+    got = {(r.run, r.n): r.accuracy for r in metrics.running(df, "i", 10, parts=5).collect()}
+    for run in "ab":
+        own = [r[3] for r in rows if r[1] == run]
+        for n in range(10, len(own) + 1, 10):
+            known = [x for x in own[:n] if x is not None]
+            assert abs(got[run, n] - sum(known) / len(known)) < 1e-12

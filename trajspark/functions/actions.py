@@ -11,6 +11,7 @@ from .text import json_object, or_empty, quoted
 FIELDS = {"action": "string", "x": "double", "y": "double", "element_id": "int", "mark": "int", "text": "string", "app_name": "string", "direction": "string"}
 # The action types of the second schema.
 TYPES_V2 = ("tap", "long_press", "scroll", "type", "open_app", "navigate_back", "navigate_home", "wait")
+# Fixed value: the scroll variants that are folded.
 DIRECTION = r"(?i)^scroll[\s_\-]*(up|down|left|right)$"
 
 
@@ -84,7 +85,8 @@ def from_json_text(text: Column) -> Column:
         return F.when(two, nested).otherwise(flat)
 
     named = F.when(two, F.get_json_object(ok, "$.action_type")).otherwise(F.coalesce(F.get_json_object(ok, "$.action"), F.get_json_object(ok, "$.action_type")))
-    fields = {k: pick(k).try_cast(t) for k, t in FIELDS.items() if k != "action"}
+    # a number that is no integer is cut, as in element ids like 7.9
+    fields = {k: pick(k).try_cast("double").try_cast("int") if t == "int" else pick(k).try_cast(t) for k, t in FIELDS.items() if k != "action"}
     return F.when(ok.isNotNull() & F.startswith(F.trim(ok), F.lit("{")), action(action=F.when(two, F.coalesce(pick("action"), named)).otherwise(named), **fields))
 
 

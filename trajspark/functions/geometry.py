@@ -43,3 +43,9 @@ def coordinate(axis: str, c: Column, grid: int = 1000) -> Column:
     text = c.cast("string")
     k = F.regexp_extract(text, rf"<loc_{axis}_(\d+)>", 1).try_cast("int")
     return F.when(k.isNotNull(), F.when(k < grid, (k + 0.5) / grid)).otherwise(F.trim(text).try_cast("double"))
+
+
+def tap_point(a: Column) -> Column:
+    """The point of a tap whose coordinates are numbers or numeric strings, else null."""
+    x, y = (F.trim(a[k].cast("string")).try_cast("double") for k in "xy")
+    return F.when((a["action"] == "tap") & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))

@@ -91,7 +91,7 @@ def schema_replaced(prompt: Column) -> Column:
 def prior_inserted(prompt: Column, prior: Column) -> Column:
     """`Previous action: ...` before the first schema block, after a blank line, else after a line end; else an error."""
     def put(lead: str) -> Column:
-        at = F.locate(lead + ANCHOR, prompt) if isinstance(prompt, str) else F.instr(prompt, lead + ANCHOR)
+        at = F.instr(prompt, lead + ANCHOR)
         return F.when(at > 0, F.concat(F.substring(prompt, F.lit(1), at - 1 + len(lead)), F.lit("Previous action: "), prior, F.lit("\n\n"), F.substring(prompt, at + len(lead), F.length(prompt))))
 
     return F.coalesce(put("\n\n"), put("\n"), F.raise_error(F.lit("the prompt lacks the schema anchor")).cast("string"))
@@ -125,6 +125,7 @@ def first_json_flat(text: Column) -> Column:
     return F.when(F.get_json_object(F.when(F.try_parse_json(found).isNotNull(), found), "$.action").isNotNull(), found)
 
 
+# Fixed value: the fences that are cut off, so that the same texts give the same objects.
 _fence = re.compile(r"^```(?:json)?\s*|\s*```$", re.MULTILINE)
 
 
@@ -177,3 +178,16 @@ def place_values(number: Column) -> Column:
 
 def bar(n: Column, most: Column, width: int = 40) -> Column:
     return F.repeat(F.lit("#"), F.when(most > 0, F.floor(n * width / most)).otherwise(0).cast("int"))
+
+
+def digit_runs(text: Column) -> Column:
+    """The longest runs of digits: an array of (start from 1, digits)."""
+    at = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).rlike("[0-9]") & ~F.substring(F.concat(F.lit("x"), text), i, F.lit(1)).rlike("[0-9]"))
+    starts = F.when(F.length(text) > 0, at).when(text.isNotNull(), F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.regexp_extract(F.substring(text, i, F.length(text)), "^[0-9]+", 0).alias("digits")))
+
+
+def png_size(data: Column) -> Column:
+    """Width and height in a PNG's header (bytes, or base64 text through unbase64), null for anything else."""
+    number = lambda i: F.conv(F.hex(F.substring(data, i, 4)), 16, 10).cast("int")
+    return F.when(F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("w"), number(21).alias("h")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.actions import TYPES_V2
@@ -13,6 +13,7 @@ from .steps import runs
 SUCCESS = 0.999
 
 
+# Outcome names, and the pattern of an action in an output.
 def failure() -> Column:
     """The outcome of an episode, by the first rule that holds."""
     out, said = F.col("episode_data.action_output"), F.col("episode_data.action_output_json")
@@ -65,7 +66,3 @@ def unknown_types(steps: DataFrame) -> DataFrame:
 
 def compounded(p: Column, n: Column) -> Column:
     return F.pow(p, n)
-
-
-def window_share(rows: DataFrame, n: str = "n") -> DataFrame:
-    return rows.withColumn("share", F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(1))))

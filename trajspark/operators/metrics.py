@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import actions, geometry, text
+from . import elements, match
+
 PARSE_FAIL = "<parse_fail>"
 
 
@@ -31,10 +34,56 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, "gt_type", F.coalesce("pred_type", F.lit(PARSE_FAIL)).alias("pred_type")).agg(F.count("*").alias("n"))
 
 
-def confusion_wide(rows: DataFrame, types: list[str]) -> DataFrame:
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """Every type that is either wanted or predicted, in order."""
+    return rows.select(F.explode(F.array("gt_type", F.coalesce("pred_type", F.lit(PARSE_FAIL)))).alias("type")).where("type IS NOT NULL").distinct().orderBy("type")
+
+
+def confusion_wide(rows: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """A column for each predicted type, by default all of them (the vocabulary is small)."""
+    types = types or [r[0] for r in confusion(rows).select("pred_type").distinct().orderBy("pred_type").collect()]
     return confusion(rows).groupBy("gt_type").pivot("pred_type", types).sum("n").na.fill(0)
 
 
+def by_size(rows: DataFrame, *then: str) -> DataFrame:
+    """Counts, the largest first."""
+    return rows.orderBy(F.desc("n"), *then)
+
+
+def native_rates(rows: DataFrame, *by: str) -> DataFrame:
+    """n, parse_rate as (n - failures) / max(n, 1), and full_match."""
+    n, failed = F.count("*"), count_if(~F.coalesce("parsed", F.lit(False)))
+    return rows.groupBy(*by).agg(n.alias("n"), ((n - failed) / F.greatest(n, F.lit(1))).alias("parse_rate"), share(F.col("ok")).alias("full_match"))
+
+
+def element_accuracy(rows: DataFrame, *by: str) -> DataFrame:
+    """The share of predictions (pred, gt) that name the right element; 0 without rows."""
+    return rows.groupBy(*by).agg(share(match.match(F.col("pred"), F.col("gt"), "element")).alias("element_accuracy"))
+
+
+def element_rescore(rows: DataFrame, by: str = "file") -> DataFrame:
+    """Per file: n, full_match_radius (the stored ok), full_match_element, their difference, accuracy by type and the confusion of folded predictions."""
+    hit = match.match(F.col("pred"), F.col("gt"), "element")
+    pred = actions.scroll_normalised(F.col("pred"))
+    said = F.coalesce(F.nullif(F.lower(pred["action"]), F.lit("")), F.lit(PARSE_FAIL))
+    scored = rows.select(by, "ok", hit.alias("hit"), F.lower(text.or_empty(F.col("gt.action"))).alias("gt_type"), said.alias("pred_type"))
+    cells = scored.groupBy(by, "gt_type", "pred_type").agg(F.count("*").alias("n"), count_if(F.col("hit")).alias("hits"), count_if(F.col("ok")).alias("oks"))
+    types = cells.groupBy(by, "gt_type").agg(F.sum("n").alias("n"), F.sum("hits").alias("correct"), F.sum("oks").alias("oks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("pred_type", "n")))).alias("row"))
+    n = F.sum("n")
+    entry = F.struct("gt_type", F.struct("n", "correct", (F.col("correct") / F.col("n")).alias("accuracy")).alias("v"))
+    return types.groupBy(by).agg(
+        n.alias("n"), (F.sum("oks") / n).alias("full_match_radius"), (F.sum("correct") / n).alias("full_match_element"), ((F.sum("correct") - F.sum("oks")) / n).alias("delta"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("per_type"), F.map_from_entries(F.collect_list(F.struct("gt_type", "row"))).alias("confusion"),
+    )
+
+
+def oracle_within(rows: DataFrame, radius: float = geometry.RADIUS) -> DataFrame:
+    """Taps (gt, gt_xy, elements) for which the right element's centre lies within the radius of the true point: the ceiling of any model."""
+    xy, at = F.col("gt_xy"), elements.resolved(F.col("elements"), F.col("gt.element_id"))
+    eligible = (F.col("gt.action") == "tap") & xy.isNotNull()
+    return reachability(rows, F.coalesce(geometry.within(at["x"], at["y"], xy[0], xy[1], radius), F.lit(False)), eligible)
+
+
 def grid(rows: DataFrame, granularities: list[str]) -> DataFrame:
     """correct and n by action and granularity."""
     return rows.groupBy("gt_type").pivot("granularity", granularities).agg(count_if(F.col("ok")).alias("correct"), F.count(F.lit(1)).alias("n")).na.fill(0)
@@ -51,11 +100,24 @@ def rescored(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col("was")).alias("old"), share(F.col("ok")).alias("new"), (share(F.col("ok")) - share(F.col("was"))).alias("delta"), count_if(~F.col("was").eqNullSafe(F.col("ok"))).alias("flips"))
 
 
-def running(rows: DataFrame, position: str, every: int = 25, by: str = "run") -> DataFrame:
-    """Accuracy so far at every `every`-th row of a run."""
-    w = Window.partitionBy(by).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("n", F.count("*").over(w)).withColumn("accuracy", F.avg(F.col("ok").cast("double")).over(w))
-    return out.where(F.col("n") % every == 0).select(by, "n", "accuracy")
+def running(rows: DataFrame, position: str, every: int = 25, by: str = "run", parts: int = 256) -> DataFrame:
+    """Accuracy so far at every `every`-th row of a run. A run is cut to `parts` ranges of positions that are summed first, so no task orders a whole run."""
+    cut = stretches(rows.select(by, position, F.col("ok").cast("double").alias("ok")), position, [by], parts)
+    sums = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.count("ok").alias("_k"), F.sum("ok").alias("_ok"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(by, "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_k", "_ok")])
+    w = Window.partitionBy(by, "_part").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(F.broadcast(sums), [by, "_part"])
+    out = out.select(by, (F.col("_n") + F.count("*").over(w)).alias("n"), ((F.col("_ok") + F.coalesce(F.sum("ok").over(w), F.lit(0.0))) / F.nullif(F.col("_k") + F.count("ok").over(w), F.lit(0))).alias("accuracy"))
+    return out.where(F.col("n") % every == 0)
+
+
+def stretches(rows: DataFrame, value: str, by: list[str], parts: int) -> DataFrame:
+    """Add _part: which of `parts` ranges of about equal size in its group a value lies in. A row a group is broadcast."""
+    points = [i / parts for i in range(1, parts)]
+    bounds = rows.groupBy(*by).agg(F.percentile_approx(value, points, 4 * parts).alias("_bounds"))
+    out = rows.join(F.broadcast(bounds), by) if by else rows.crossJoin(F.broadcast(bounds))
+    return out.withColumn("_part", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))).drop("_bounds")
 
 
 def flip_rate(rows: DataFrame, was: str = "down", said: str = "up") -> DataFrame:

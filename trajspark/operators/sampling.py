@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def most_common(rows: DataFrame, value: str, k: int, position: str) -> DataFrame
     return rows.groupBy(value).agg(F.count("*").alias("n"), F.min(position).alias("first")).orderBy(F.desc("n"), "first").limit(k)
 
 
-def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+def first_rows(rows: DataFrame, order: list[str | Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bar  # noqa: F401
-
 TIES = {"lowest": F.asc, "highest": F.desc}
 
 

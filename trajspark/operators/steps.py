@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import actions, text
+from ..sources.records import decoded_forests
 from . import elements
 
 
@@ -27,6 +28,18 @@ def explode_steps(episodes: DataFrame) -> DataFrame:
     return real.unionByName(done)
 
 
+def from_features(records: DataFrame) -> DataFrame:
+    """Feature maps of binary records as episodes (episode_id, goal, steps) for `explode_binary`, row by row; a forest that can't be decoded has no nodes."""
+    of = lambda k, kind: F.col("features")[k][kind]
+    at = lambda k, kind, i: F.get(of(k, kind), i)
+    rows = records.withColumn("_nodes", decoded_forests(of("accessibility_trees", "bytes_list"))).withColumn("_id", at("episode_id", "int64_list", F.lit(0)))
+    step = lambda raw, i: F.struct(
+        text.decoded(raw).alias("action_json"), text.decoded(at("step_instructions", "bytes_list", i)).alias("instruction"), at("screenshot_widths", "int64_list", i).cast("int").alias("w"),
+        at("screenshot_heights", "int64_list", i).cast("int").alias("h"), F.get("_nodes", i).alias("nodes"), F.concat(F.lit("images/"), text.file_name(F.col("_id"), i)).alias("image"),
+    )
+    return rows.select(F.col("_id").alias("episode_id"), text.decoded(at("goal", "bytes_list", F.lit(0))).alias("goal"), F.transform(of("actions", "bytes_list"), step).alias("steps"))
+
+
 def explode_binary(episodes: DataFrame) -> DataFrame:
     """Decoded binary episodes (episode_id, goal, steps: action_json, instruction, w, h, nodes, image): a step row an action, or a drop reason."""
     rows = episodes.select("episode_id", "goal", F.size("steps").alias("total_steps"), F.posexplode("steps").alias("step_index", "s"))
@@ -50,13 +63,13 @@ def route(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def native(steps: DataFrame, most: int = elements.MOST, least: int = 16) -> DataFrame:
-    """Steps with boxes (a11y, image_w, image_h, action) as element targets, or with a drop reason: no_a11y, empty, tap_no_match."""
-    sized = F.col("image_w").isNotNull() & F.col("image_h").isNotNull()
+    """Steps with boxes (a11y, image_w, image_h, action) as element targets, or with a drop reason: no_a11y, empty, tap_no_xy, tap_no_match."""
+    sized = F.coalesce((F.col("image_w") > 0) & (F.col("image_h") > 0), F.lit(False))
     kept = F.when(sized, elements.ranked(elements.large_enough(F.col("a11y"), F.col("image_w"), F.col("image_h"), least), most)).otherwise(elements.ranked_without_size(F.col("a11y"), most))
     rows = steps.withColumn("_nodes", kept)
     press = F.col("action.action").isin("tap", "long_press")
     rows = rows.withColumn("_at", F.when(press, elements.element_at(F.col("_nodes"), F.col("action.x"), F.col("action.y"))))
-    reason = F.when(F.coalesce(F.size("a11y"), F.lit(0)) <= 0, "no_a11y").when(F.size("_nodes") == 0, "empty").when(press & F.col("_at").isNull(), "tap_no_match")
+    reason = F.when(F.coalesce(F.size("a11y"), F.lit(0)) <= 0, "no_a11y").when(F.size("_nodes") == 0, "empty").when(press & (F.col("action.x").isNull() | F.col("action.y").isNull()), "tap_no_xy").when(press & F.col("_at").isNull(), "tap_no_match")
     a = F.col("action")
     return rows.select(
         *[c for c in steps.columns if c not in ("a11y", "action", "drop_reason")],
@@ -67,6 +80,19 @@ def native(steps: DataFrame, most: int = elements.MOST, least: int = 16) -> Data
     )
 
 
+def native_counters(rows: DataFrame) -> DataFrame:
+    """How `native` fared: n of each drop reason, of taps that were matched and of other actions that were kept, and of rows without screen sizes."""
+    kind = F.coalesce("drop_reason", F.when(F.col("action.action") == "tap", "tap_matched").otherwise("non_tap"))
+    sizeless = F.when(~F.coalesce((F.col("image_w") > 0) & (F.col("image_h") > 0), F.lit(False)), F.lit("fallback_no_dims"))
+    names = F.explode(F.filter(F.array(kind, sizeless), lambda c: c.isNotNull()))
+    return rows.select(names.alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
+
+
+def with_nodes(rows: DataFrame) -> DataFrame:
+    """Rows with at least one node."""
+    return rows.where(F.coalesce(F.size("a11y"), F.lit(0)) > 0)
+
+
 def to_v2(rows: DataFrame) -> DataFrame:
     """Prompt and target of v1 rows (prompt, action) in the second schema; unknown types and prompts are errors."""
     return rows.withColumn("target", actions.to_json_v2(F.col("action"))).withColumn("prompt", text.schema_replaced(F.col("prompt")))

@@ -83,12 +83,12 @@ def rescore_flips(spark, sf_dir):
 
 
 _TURNS = """
-WITH rows AS (SELECT conv_id AS episode_id, CAST(turn AS INTEGER) AS step_index, role || ':' || CAST(length(text) AS VARCHAR) AS target FROM conversations WHERE turn % 3 <> 1)
+WITH rows AS (SELECT conv_id AS episode_id, CAST(turn AS INTEGER) AS step_index, role || ':' || CAST(length(text) AS VARCHAR) AS target FROM conversations)
 """
 
 
 def _turns(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select(F.col("conv_id").alias("episode_id"), F.col("turn").cast("int").alias("step_index"), F.concat("role", F.lit(":"), F.length("text").cast("string")).alias("target"))
 
 
@@ -259,12 +259,12 @@ def _screens(spark, sf_dir):
     return rows.select("s_nationkey", elements.ranked(F.transform("n", lambda x: x["node"])).alias("nodes"))
 
 
-@query(f"""WITH {_BOXES}, t AS (SELECT c_custkey, c_nationkey, x, y FROM {_POINTS} WHERE c_custkey % 5 = 0),
+@query(f"""WITH {_BOXES}, t AS (SELECT c_custkey, c_nationkey, x, y FROM {_POINTS}),
 inside AS (SELECT c_custkey, arg_min(id, (CASE WHEN clickable THEN 0 ELSE 1 END, area, id)) AS id FROM t JOIN e ON c_nationkey = s_nationkey AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1),
 near AS (SELECT c_custkey, arg_min(id, (d, id)) AS id FROM (SELECT c_custkey, id, sqrt(((x0 + x1) / 2 - x) * ((x0 + x1) / 2 - x) + ((y0 + y1) / 2 - y) * ((y0 + y1) / 2 - y)) AS d FROM t JOIN e ON c_nationkey = s_nationkey) WHERE d < 0.04 GROUP BY 1)
 SELECT t.c_custkey, CAST(coalesce(inside.id, near.id) AS INTEGER) AS element_id FROM t LEFT JOIN inside USING (c_custkey) LEFT JOIN near USING (c_custkey)""")
 def point_in_box(spark, sf_dir):
-    taps = _points(spark, sf_dir).where("c_custkey % 5 = 0").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"), "x", "y")
+    taps = _points(spark, sf_dir).select("c_custkey", F.col("c_nationkey").alias("s_nationkey"), "x", "y")
     return taps.join(_screens(spark, sf_dir), "s_nationkey", "left").select("c_custkey", (elements.element_at(F.col("nodes"), F.col("x"), F.col("y")) + 1).alias("element_id"))
 
 

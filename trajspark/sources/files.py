@@ -17,6 +17,24 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, tolerant
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def episodes(spark: SparkSession, path: str, schema: str = schemas.EPISODE, splits: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Episode tables partitioned by `split`, with the split as a column: of some splits only (others aren't read), or lazily the first `limit` rows."""
+    rows = spark.read.schema(f"{schema}, split STRING").parquet(path)
+    rows = rows.where(F.col("split").isin(splits)) if splits else rows
+    return rows.limit(limit) if limit else rows
+
+
+def agent_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Agent episodes as JSON lines (see `convert`), from a folder or, if it holds none, from its first `run_*` folder by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted((f.getPath().getName(), f.isDirectory()) for f in folder.getFileSystem(conf).listStatus(folder))
+    runs = [n for n, inner in names if inner and n.startswith("run_")]
+    if runs and not any(n.endswith((".json", ".jsonl", ".json.gz", ".jsonl.gz")) for n, _ in names):
+        path = f"{path.rstrip('/')}/{runs[0]}"
+    return spark.read.schema(schemas.AGENT_EPISODE).option("mode", "FAILFAST").option("pathGlobFilter", "*.json*").json(path)
+
+
 def good_lines(rows: DataFrame) -> DataFrame:
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
@@ -102,3 +120,27 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def rewrite(rows: DataFrame, path: str, *order: str) -> None:
+    """Rows as JSON lines in the order of the input, which `order` names."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Add a run's results to a log of JSON lines."""
+    rows.coalesce(1).write.mode("append").json(path)
+
+
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """A copy of a file or folder on any file system Spark reads; the target must not exist."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    if b.getFileSystem(conf).exists(b):
+        raise FileExistsError(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
+def merged(frames: list[DataFrame], path: str, form: str = "parquet") -> None:
+    """Partial results of several workers as one sorted table; what stood at `path` before is replaced."""
+    keys = ["episode_id", "step_index", "granularity"]
+    rows = union(frames)
+    rows.repartitionByRange("split", *keys).sortWithinPartitions("split", *keys).write.mode("overwrite").partitionBy("split").format(form).save(path)

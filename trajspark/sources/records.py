@@ -1,37 +1,72 @@
-"""A data source for gzip-compressed record shards of protobuf feature maps.
+"""A data source for gzip-compressed record shards of protobuf feature maps, and the accessibility forests in them.
 
 A record is framed as its length (8 bytes, little-endian), a checksum (4), the data, and another checksum (4). gzip
-cannot be split, so a shard is a partition. Checksums are skipped unless `verify` is set; a record cut short is an
-error. The reader streams: a task holds one record at a time.
+cannot be split, so a shard is a partition. Paths go through pyarrow's file systems (local, S3, HDFS, ...; a path with a scheme, or a local one), and may hold
+wildcards in their last part. Checksums are skipped unless the option `verify` is true (slow: it runs byte by byte); a wrong one and a record cut short are
+errors. The reader streams: a task holds one Arrow batch of BATCH records at a time.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import schemas
+
+BATCH = 16
 SCHEMA = "features MAP<STRING, STRUCT<bytes_list:ARRAY<BINARY>, float_list:ARRAY<FLOAT>, int64_list:ARRAY<BIGINT>>>, shard STRING, position BIGINT"
 
 
-def frames(stream, name: str = "shard") -> Iterator[bytes]:
+def _table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+_CRC = _table()
+
+
+def checksum(data: bytes) -> int:
+    """The masked CRC-32C of a frame's length or data."""
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc = crc >> 8 ^ _CRC[(crc ^ byte) & 255]
+    crc ^= 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def frames(stream, name: str = "shard", verify: bool = False) -> Iterator[bytes]:
     """The data of each frame."""
     while head := stream.read(12):
         if len(head) < 12:
             raise OSError(f"truncated header in {name}")
         size = struct.unpack_from("<Q", head)[0]
+        if verify and struct.unpack_from("<I", head, 8)[0] != checksum(head[:8]):
+            raise OSError(f"wrong checksum of a header in {name}")
         body = stream.read(size + 4)
         if len(body) < size + 4:
             raise OSError(f"truncated data in {name}")
+        if verify and struct.unpack_from("<I", body, size)[0] != checksum(body[:size]):
+            raise OSError(f"wrong checksum of data in {name}")
         yield body[:size]
 
 
 def frame(data: bytes) -> bytes:
-    """A record as it stands in a shard, with empty checksums (for tests and exports)."""
-    return struct.pack("<QI", len(data), 0) + data + b"\0\0\0\0"
+    """A record as it stands in a shard (for tests and exports)."""
+    size = struct.pack("<Q", len(data))
+    return size + struct.pack("<I", checksum(size)) + data + struct.pack("<I", checksum(data))
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -91,6 +126,53 @@ def example(data: bytes) -> dict[str, tuple]:
     return out
 
 
+# Field numbers of the public accessibility messages (windows, tree, nodes; a node's fields; a rectangle's sides).
+WINDOWS, TREE, NODES = 1, 11, 1
+NODE = {1: "unique_id", 2: "bounds", 3: "class_name", 4: "content_description", 7: "text", 10: "view_id_resource_name", 14: "is_clickable", 15: "is_editable", 19: "is_long_clickable", 23: "is_visible_to_user", 27: "depth"}
+SIDES = {1: "left", 2: "top", 3: "right", 4: "bottom"}
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def nodes(forest: bytes) -> list[dict]:
+    """The nodes of all windows of a forest, in order; what a message leaves out has its default."""
+    out = []
+    for number, _, window in fields(forest):
+        for inner, _, tree in fields(window) if number == WINDOWS else ():
+            for n, _, node in fields(tree) if inner == TREE else ():
+                if n != NODES:
+                    continue
+                row = {"unique_id": 0, "bounds": dict.fromkeys(SIDES.values(), 0), "depth": 0} | {k: "" for k in ("text", "content_description", "view_id_resource_name", "class_name")}
+                row |= {k: False for k in NODE.values() if k.startswith("is_")}
+                for k, _, v in fields(node):
+                    name = NODE.get(k)
+                    if name == "bounds":
+                        row[name] |= {SIDES[i]: _signed(x) for i, _, x in fields(v) if i in SIDES}
+                    elif name:
+                        row[name] = v.decode("utf-8", "replace") if isinstance(v, bytes) else v != 0 if name.startswith("is_") else _signed(v)
+                out.append(row)
+    return out
+
+
+def _nodes_or_none(forest) -> list[dict]:
+    try:
+        return nodes(bytes(forest)) if forest is not None else []
+    except (OSError, IndexError, AttributeError, TypeError, KeyError):
+        return []
+
+
+def decoded_forests(forests: Column) -> Column:
+    """An array of forests as an array of arrays of raw nodes, in Arrow batches; an undecodable forest has none."""
+
+    @F.pandas_udf(f"array<array<struct<{schemas.RAW_NODE}>>>")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda every: [_nodes_or_none(f) for f in every] if every is not None else [])
+
+    return decode(forests)
+
+
 class RecordSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -103,14 +185,35 @@ class RecordSource(DataSource):
         return RecordReader(self.options)
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 class RecordReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = sorted(glob.glob(options["path"]))
+        self.path, self.verify = options["path"], str(options.get("verify", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        head, _, tail = self.path.rpartition("/")
+        if not any(c in tail for c in "*?["):
+            where, path = _located(self.path)
+            if where.get_file_info(path).type == fs.FileType.File:
+                return [InputPartition(self.path)]
+            head, tail = self.path, "*"
+        where, path = _located(head)
+        found = [f for f in where.get_file_info(fs.FileSelector(path)) if f.is_file and fnmatch.fnmatch(f.base_name, tail)]
+        return [InputPartition(f"{head}/{f.base_name}") for f in sorted(found, key=lambda f: f.base_name)]
 
     def read(self, partition: InputPartition):
-        with gzip.open(partition.value, "rb") as stream:
-            for i, data in enumerate(frames(stream, partition.value)):
-                yield example(data), partition.value, i
+        where, path = _located(partition.value)
+        lists = pa.struct([("bytes_list", pa.list_(pa.binary())), ("float_list", pa.list_(pa.float32())), ("int64_list", pa.list_(pa.int64()))])
+        kinds, rows = pa.schema([("features", pa.map_(pa.string(), lists)), ("shard", pa.string()), ("position", pa.int64())]), []
+        with where.open_input_stream(path, compression=None) as raw, gzip.open(raw, "rb") as stream:
+            for i, data in enumerate(frames(stream, partition.value, self.verify)):
+                features = [(k, dict(zip(("bytes_list", "float_list", "int64_list"), v))) for k, v in example(data).items()]
+                rows.append({"features": features, "shard": partition.value, "position": i})
+                if len(rows) == BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, kinds)
