@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and a randomness test battery for whatever else looks generated.
 
 Built from SQL functions only. Base spans are the leftmost non-overlapping matches of three patterns. The
-battery adds spans. Candidates are runs of LEAST or more letters and digits, and longer runs that have the shape of base64: upper and lower case, digits, and
-at most one separator in ten characters (paths, slugs and identifiers have more, so their parts are candidates by themselves, if long enough). What a base span covers
-is cut out of them. A candidate's encoding is inferred from its characters, which gives its alphabet, and three statistics say how far it
+battery adds spans. Candidates are runs of LEAST or more letters, digits and separators of base64 that lie outside base spans. A run is tested whole if it has the shape of base64: upper and
+lower case, digits, and at most one separator in ten characters; of others (paths, slugs and identifiers have more separators) each part of LEAST or more letters and digits is tested by
+itself. A candidate's encoding is inferred from its characters, which gives its alphabet, and three statistics say how far it
 is from uniform random characters of it: chi-squared over the alphabet, the number of runs above and below the alphabet's middle,
 and the lag-1 serial correlation.
 
@@ -33,7 +33,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 LEAST = 20
 PLAIN = rf"[A-Za-z0-9]{{{LEAST},}}"
-MIXED = rf"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{{{LEAST},}}|[A-Za-z0-9_-]{{{LEAST},}})(?==*(?:[^A-Za-z0-9+/_=-]|$))"
+# What a base span covers, and runs of key characters that don't reach into it.
+COVERED = r"""(?:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,})"""
+RUN = rf"{COVERED}|(?!{COVERED})[A-Za-z0-9](?:(?!{COVERED})[A-Za-z0-9+/_=-]){{{LEAST - 1},}}+"
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,32 +62,29 @@ BINS = 2000
 BLOCK = 256
 
 
-def _matches(text: str, pattern: str) -> list[tuple[str, Column]]:
-    """Columns that hold the matches of a pattern and the stretches between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return [("_m", found), ("_g", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))]
+def _let(value: Column, f) -> Column:
+    """f(value), with the value worked out once: a column that a lambda only refers to would be worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def with_spans(df: DataFrame, text: str, pattern: str, out: str, keep: str | None = None) -> DataFrame:
-    """Add an array of (start, end, match) of all leftmost non-overlapping matches; `keep` is an SQL condition on `m`."""
-    for name, column in _matches(text, pattern):
-        df = df.withColumn(name, column)
-    # each match with the length of what lies before it; a fold turns lengths into positions, BLOCK matches at a time, because it copies what it has
-    at = lambda x: x["gap"] + F.length(x["m"])
+    """Add an array of (start, end, match) of all leftmost non-overlapping matches; `keep` is an SQL condition on `s.m`."""
     kind = "array<struct<start:int,end:int,m:string>>"
-    steps = F.transform("_m", lambda m, i: F.struct(F.length(F.get("_g", i)).alias("gap"), m.alias("m")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_m") - 1) / BLOCK).cast("int")), lambda i: F.slice("_s", i * BLOCK + 1, BLOCK))
-    before = lambda i: F.aggregate(F.slice("_n", F.lit(1), i), F.lit(0), lambda acc, x: acc + x)
-    fold = lambda block, i: F.aggregate(
+    at = lambda x: x["gap"] + F.length(x["m"])
+    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # each match with the length of what lies before it; a fold turns lengths into positions, BLOCK matches at a time, because it copies what it has
+    steps = F.filter(F.zip_with(matches, between, lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda i: F.slice(s, i * BLOCK + 1, BLOCK))
+    lengths = lambda b: F.transform(b, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + at(x)))
+    fold = lambda block, before: F.aggregate(
         block,
-        F.struct(before(i).alias("at"), F.array().cast(kind).alias("spans")),
+        F.struct(before.alias("at"), F.array().cast(kind).alias("spans")),
         lambda acc, x: F.struct((acc["at"] + at(x)).alias("at"), F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + at(x)).alias("end"), x["m"].alias("m")))).alias("spans")),
         lambda acc: acc["spans"],
     )
-    df = df.withColumn("_s", steps).withColumn("_b", F.when(F.size("_m") > 0, blocks)).withColumn("_n", F.transform("_b", lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + at(x))))
-    folded = F.flatten(F.transform("_b", fold))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    df = df.withColumn(out, F.when(F.size("_m") > 0, folded).otherwise(none)).drop("_m", "_g", "_s", "_b", "_n")
+    every = lambda b: _let(lengths(b), lambda n: F.flatten(F.transform(b, lambda block, i: fold(block, F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda acc, x: acc + x)))))
+    found = _let(steps, lambda s: F.when(F.size(s) > 0, _let(blocks(s), every)).otherwise(F.array().cast(kind)))
+    df = df.withColumn(out, F.when(F.col(text).rlike(pattern), found).otherwise(F.array().cast(kind)))
     return df.withColumn(out, F.expr(f"filter({out}, s -> {keep})")) if keep else df
 
 
@@ -137,18 +136,14 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     df = with_spans(df, "text", ASSIGN, "assign", keep=f"length(regexp_extract(s.m, '{_quoted(ASSIGN)}', 2)) >= 12")
     df = with_spans(df, "text", ACCESS, "access", keep="length(s.m) >= 18")
     df = with_spans(df, "text", HEX, "hex")
-    shape = " AND ".join(f"s.m rlike '{c}'" for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    df = with_spans(df, "text", MIXED, "mixed", keep=f"{shape} AND 10 * length(regexp_replace(s.m, '[A-Za-z0-9]', '')) <= length(s.m)")
-    df = with_spans(df, "text", PLAIN, "random")
-    base = F.concat(*[F.transform(k, _named(i)) for i, k in enumerate(KINDS[:3])])
-    df = df.withColumn("base", F.array_sort(base))
-    df = df.withColumn("random", F.expr("concat(mixed, filter(random, c -> NOT exists(mixed, b -> b.start <= c.start AND c.end <= b.end)))"))
-    # what no base span covers: from a candidate's start, or a base span's end within it, to the next base span or the candidate's end
-    rest = """flatten(transform(random, c -> filter(transform(
-        array_distinct(concat(array(c.start), transform(filter(base, b -> c.start < b.end AND b.end < c.end), b -> b.end))),
-        s -> struct(s AS start, coalesce(array_min(transform(filter(base, b -> s <= b.start AND b.start < c.end), b -> b.start)), c.end) AS end, c.m AS m, c.start AS at)),
-        x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))))"""
-    df = df.withColumn("random", F.expr(f"filter(transform({rest}, x -> struct(x.start AS start, x.end AS end, substring(x.m, x.start - x.at + 1, x.end - x.start) AS m)), x -> length(x.m) >= {LEAST})"))
+    df = with_spans(df, "text", RUN, "runs", keep=f"NOT s.m rlike '^{_quoted(COVERED)}'")
+    df = df.withColumn("base", F.array_sort(F.concat(*[F.transform(k, _named(i)) for i, k in enumerate(KINDS[:3])])))
+    shape = " AND ".join(f"c.m rlike '{x}'" for x in ("[a-z]", "[A-Z]", "[0-9]", "[+/_-]", "^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"))
+    length = lambda array, n: f"aggregate(slice({array}, 1, {n}), 0, (a, x) -> a + length(x))"
+    parts = f"""transform(regexp_extract_all(c.m, '{PLAIN}', 0), (x, i) -> struct(c.start + {length(f"split(c.m, '{PLAIN}', -1)", "i + 1")} + {length(f"regexp_extract_all(c.m, '{PLAIN}', 0)", "i")} AS start, x AS m))"""
+    whole = f"{shape} AND 10 * length(regexp_replace(c.m, '[A-Za-z0-9]', '')) <= length(c.m)"
+    found = f"flatten(transform(runs, c -> CASE WHEN {whole} THEN array(struct(c.start AS start, regexp_replace(c.m, '=+$', '') AS m)) ELSE {parts} END))"
+    df = df.withColumn("random", F.expr(f"transform({found}, c -> struct(c.start AS start, c.start + length(c.m) AS end, c.m AS m))"))
     df = shared.settle(df.select("_row", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], "base", "random"), "secrets")
     candidates = df.select("_row", F.explode("random").alias("c")).select("_row", "c.start", "c.end", "c.m")
     tested = shared.settle(battery(candidates).drop("m"), "battery")
