@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+
 #: Rows and bytes of an Arrow batch. Documents are long, so the default of 10,000 rows would make batches of many MB.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(4 << 20))}
 #: Columns that an operator adds for itself start so.
@@ -21,32 +20,21 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, small)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="trajspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the session ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.settled = path
+    return found
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, whatever is still to run."""
+    for df in settled:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.settled)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,10 +126,12 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     hubs = heavy_keys(both, "b")
     while True:
-        around = matched(both, "b", labels.withColumnsRenamed({"node": "b", "label": "other"}), heavy=hubs).groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        new = settle(labels.join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("other", "label")).alias("label")), f"{name}-around")
-        step = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = settle(matched(new, "label", step, "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), f"{name}-labels")
+        around = matched(both, "b", labels.select(F.col("node").alias("b"), F.col("label").alias("other")), heavy=hubs).groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        near = settle(labels.join(around, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("other", "label")).alias("label")), f"{name}-around")
+        step = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = settle(matched(near, "label", step, "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), f"{name}-labels")
+        discard(labels, near)
         if new.where("was <> label").isEmpty():
+            discard(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
