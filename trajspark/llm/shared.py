@@ -99,9 +99,9 @@ def recurring(rows: DataFrame, key: str, name: str, *more) -> DataFrame:
 
 
 def heavy_keys(rows: DataFrame, key: str, most: int = 1000) -> list:
-    """The values of `key` that hold over a `most`-th of the rows (and over 100): at most `most` of them."""
-    bound = max(100, rows.count() // most)
-    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound).limit(most).select(key).collect()]
+    """The `most` most frequent values of `key` among those with over 100 rows; what is left has no key with over a `most`-th of the rows."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 100")
+    return [r[0] for r in counts.orderBy(F.desc("n"), key).limit(most).select(key).collect()]
 
 
 def matched(rows: DataFrame, key: str, other: DataFrame, how: str = "inner", heavy: list | None = None) -> DataFrame:
