@@ -392,3 +392,15 @@ def _searched(rows: DataFrame, asked: DataFrame, dim: int, k: int, list_size: in
     key = ["bundle", "block", "shard"]
     met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_meet(k, copies), "query_id long, vec_id long, score double")
     return best_rows(met, k)
+
+
+# The query's result in DuckDB's SQL: all pairs. Up to 511 vectors make one list, and the search is exact; above that its recall is measured instead.
+ORACLE = r"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20
+"""

@@ -74,4 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_trees": reply_trees.ORACLE, "op10_source_mix": source_mix.ORACLE}
+    return {
+        "op3_jaccard_join": jaccard_join.ORACLE,
+        "op4_ann": ann.ORACLE,
+        "op5_reply_trees": reply_trees.ORACLE,
+        "op9_substring_dedup": substring_dedup.ORACLE,
+        "op10_source_mix": source_mix.ORACLE,
+    }

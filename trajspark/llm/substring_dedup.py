@@ -153,3 +153,23 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
         F.when(all_gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
     )
+
+
+# The query's result in DuckDB's SQL: every window of every document.
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)
+), again AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS k FROM windows JOIN again USING (h), range(35) r(j)
+), kept AS (
+  SELECT x.doc_id, array_to_string(list(x.word ORDER BY x.k), ' ') AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w) x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.k = x.k GROUP BY x.doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
