@@ -8,8 +8,11 @@ anywhere else, in the same document or another, is removed.
   occur more than once.
 * Extension: around such a seed every window that has kept it is extended to its full length in both
   directions, as one hash of its words. All occurrences of a seed are compared at once by grouping on
-  that hash, so a passage in many thousand documents costs a row for each, not one for each two.
-* Windows that recur are merged to maximal repeats (their union), and what they cover goes.
+  that hash, so a passage in many thousand documents costs a row for each, not one for each two. Each recurring window gets a partner: the least document
+  that has it too, or the greatest where that is the document itself.
+* Matches grow on from window to window as long as the partner's window moves along with them (the same partner on the same diagonal), both ways, until one of them ends or differs. What
+  comes out are the repeats that can't be extended: `repeats` lists start, number of words, partner and place there. All are `window` words long at least.
+* What recurring windows cover goes.
 
 Documents with equal word sequences are one class from the start: if they have a window at all, every word goes.
 
@@ -107,24 +110,42 @@ def _extended(batches, window: int, seed: int):
         )
 
 
+def extended(document: np.ndarray, start: np.ndarray, partner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Recurring windows grown to maximal repeats: document, start, words, partner and place there of each, document by document."""
+    order = np.lexsort((start, start - at, partner, document))
+    document, start, partner, at = document[order], start[order], partner[order], at[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (document[1:] != document[:-1]) | (partner[1:] != partner[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    return document[first], start[first], (start[last[: len(first)]] - start[first] + window), partner[first], at[first]
+
+
+_REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("partner", pa.int64()), ("at", pa.int32())]))
+
+
 def _kept(batches, window: int):
     for batch in pieces(batches):
         w = Words(batch.column("text"))
+        found = batch.column("found")
+        size, flat = found.value_lengths().to_numpy(), found.flatten()
+        start, partner, there = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
         change = np.zeros(len(w.starts) + 1, np.int64)
-        starts = batch.column("starts")
-        at = np.repeat(w.first[:-1], [len(x) for x in starts]) + np.concatenate([*(x.values.to_numpy() for x in starts), np.zeros(0, np.int64)]).astype(np.int64)
+        at = np.repeat(w.first[:-1], size) + start
         np.add.at(change, at, 1)
         np.add.at(change, at + window, -1)
         gone = np.cumsum(change[:-1]) > 0
         total = np.concatenate([[0], np.cumsum(gone)])
+        document, *repeats = extended(np.repeat(np.arange(batch.num_rows), size), start, partner, there, window)
+        lists = pa.ListArray.from_arrays(np.searchsorted(document, np.arange(batch.num_rows + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(repeats, _REPEATS.value_type)], fields=list(_REPEATS.value_type)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(total[w.first]).astype(np.int64)), pa.array([x.decode("utf-8", "replace") for x in joined(w, ~gone)], pa.string())],
-            names=["doc_id", "n_removed", "kept"],
+            [batch.column("doc_id"), pa.array(np.diff(total[w.first]).astype(np.int64)), pa.array([x.decode("utf-8", "replace") for x in joined(w, ~gone)], pa.string()), lists],
+            names=["doc_id", "n_removed", "kept", "repeats"],
         )
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text; null if nothing was removed) and kept_sha256 of every document of `docs` (doc_id, text)."""
+    """doc_id, n_words, n_removed, kept (text; null if nothing was removed), repeats (null if none, or if the whole document recurs) and kept_sha256 of every document of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     shared.tune(spark)
     docs = shared.named(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
@@ -139,10 +160,14 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
     windows = text.join(recurring, "doc_id").select("doc_id", "text", "seeds").mapInArrow(lambda b: _extended(b, window, seed), "doc_id long, starts array<int>, hashes array<long>")
     windows = shared.settle(windows, "windows").select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     single = classes.where("copies = 1").select(F.col("node").alias("doc_id"))
-    repeats = shared.recurring(windows, "hash", "window-counts").groupBy("doc_id").agg(F.collect_list("start").alias("starts")).join(single, "doc_id")
+    ends = [F.min("doc_id").alias("least_doc"), F.min_by("start", "doc_id").alias("least_at"), F.max("doc_id").alias("most_doc"), F.max_by("start", "doc_id").alias("most_at")]
+    mine = F.col("least_doc") == F.col("doc_id")
+    window_of = F.struct("start", F.when(mine, F.col("most_doc")).otherwise(F.col("least_doc")).alias("partner"), F.when(mine, F.col("most_at")).otherwise(F.col("least_at")).alias("at"))
+    repeats = shared.recurring(windows, "hash", "window-counts", *ends).groupBy("doc_id").agg(F.collect_list(window_of).alias("found")).join(single, "doc_id")
     repeats = shared.settle(repeats, "repeats")
-    cut = shared.may_contain(docs, "doc_id", repeats).join(repeats, "doc_id").select("doc_id", "text", "starts").mapInArrow(lambda b: _kept(b, window), "doc_id long, n_removed long, kept string")
-    cut = cut.select(F.col("doc_id").alias("node"), "n_removed", "kept", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    lists = "array<struct<start:int,n_words:int,partner:bigint,at:int>>"
+    cut = shared.may_contain(docs, "doc_id", repeats).join(repeats, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: _kept(b, window), f"doc_id long, n_removed long, kept string, repeats {lists}")
+    cut = cut.select(F.col("doc_id").alias("node"), "n_removed", "kept", "repeats", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
     known = classes.select("whole", "node", "copies").join(cut, "node", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
@@ -151,6 +176,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(all_gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+        "repeats",
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
     )
 
