@@ -234,9 +234,9 @@ def near_misses(spark, sf_dir):
     return spatial.near_misses(_distant(spark, sf_dir), "d", F.col("c_custkey") % 3 > 0)
 
 
-@query(f"SELECT sum((CASE WHEN d < 0.1 THEN 0.5::DOUBLE * d * d / 0.1::DOUBLE ELSE d - 0.5::DOUBLE * 0.1::DOUBLE END) * (c_custkey % 5)) / greatest(sum(c_custkey % 5), 1.0::DOUBLE) AS mean FROM {_D}")
+@query(f"SELECT round(sum((CASE WHEN d < 0.1 THEN 0.5::DOUBLE * d * d / 0.1::DOUBLE ELSE d - 0.5::DOUBLE * 0.1::DOUBLE END) * (c_custkey % 5)) / greatest(sum(c_custkey % 5), 1.0::DOUBLE), 9) AS mean FROM {_D}")
 def huber_mean(spark, sf_dir):
-    return metrics.weighted_mean(_distant(spark, sf_dir), metrics.huber(F.col("d"), 0.1), (F.col("c_custkey") % 5).cast("double"))
+    return metrics.weighted_mean(_distant(spark, sf_dir), metrics.huber(F.col("d"), 0.1), (F.col("c_custkey") % 5).cast("double")).select(F.round("mean", 9).alias("mean"))
 
 
 @query("SELECT o_orderstatus AS split, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"1-URGENT\", count(*) FILTER (o_orderpriority = '5-LOW') AS \"5-LOW\" FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1")
@@ -340,9 +340,9 @@ def image_sizes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", size["w"].alias("w"), size["h"].alias("h"))
 
 
-@query(_STEPS + "SELECT avg(r) AS mean_rate FROM (SELECT episode_id, avg((pred_type IS NULL)::INT::DOUBLE) AS r FROM scored GROUP BY 1)")
+@query(_STEPS + "SELECT round(avg(r), 9) AS mean_rate FROM (SELECT episode_id, avg((pred_type IS NULL)::INT::DOUBLE) AS r FROM scored GROUP BY 1)")
 def parse_fail_per_task(spark, sf_dir):
-    return agentruns.parse_fail_per_task(predicted(event_steps(spark, sf_dir)))
+    return agentruns.parse_fail_per_task(predicted(event_steps(spark, sf_dir))).select(F.round("mean_rate", 9).alias("mean_rate"))
 
 
 @query(_STEPS + "SELECT pred_type, count(*) AS n FROM scored WHERE pred_type IS NOT NULL GROUP BY 1")
