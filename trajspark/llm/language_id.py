@@ -10,7 +10,7 @@ A character costs one binary search where its n-gram is known, and another order
 A text goes to the language with the lowest cross-entropy a character (ties: to the first in code point order). It
 is rejected if it is null, has no letter, or if that cross-entropy is too high for its language and length. Calibration cuts
 held-out texts to stretches of LENGTHS characters; a bound is the language's median at that length plus REACH times the distance from the medians to
-the QUANTILE of all languages' stretches, interpolated between lengths by their logarithms.
+the QUANTILE of all languages' stretches (at least LEAST_SPREAD, so that texts that switch between known languages are not rejected), interpolated between lengths by their logarithms.
 
 Whole texts are scored, lower-cased, each stretch of characters that are no letters as one space; texts of over STRETCH bytes in stretches of about
 that size, cut at white space and added up.
@@ -37,6 +37,7 @@ MOST_BYTES = 50_000
 MOST_LANGUAGES = 500
 LENGTHS = tuple(8 << i for i in range(9))  # 8 to 2048 characters
 QUANTILE, REACH = 0.99, 5.0
+LEAST_SPREAD = 0.25
 STRETCH = 1 << 19
 SHARPNESS = 8.0
 _B = 0x9E3779B97F4A7C15
@@ -190,7 +191,7 @@ class Model:
         spread: list[float] = []
         for found in map(np.concatenate, away):  # a length with too few stretches for the quantile takes that of the next shorter
             enough = len(found) * (1 - QUANTILE) >= 1 or not spread
-            spread.append(max(0.1, float(np.quantile(found, QUANTILE))) if enough else spread[-1])
+            spread.append(max(LEAST_SPREAD, float(np.quantile(found, QUANTILE))) if enough else spread[-1])
         self.spread = np.array(spread)
 
 
