@@ -35,7 +35,7 @@ LEAST = 20
 PLAIN = rf"[A-Za-z0-9]{{{LEAST},}}"
 # What a base span covers, and runs of key characters that don't reach into it.
 COVERED = r"""(?:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,})"""
-RUN = rf"{COVERED}|(?!{COVERED})[A-Za-z0-9](?:(?!{COVERED})[A-Za-z0-9+/_=-]){{{LEAST - 1},}}+"
+RUN = rf"{COVERED}|(?=[A-Za-z0-9][A-Za-z0-9+/_=-]{{{LEAST - 1}}})(?!{COVERED})[A-Za-z0-9](?:(?!{COVERED})[A-Za-z0-9+/_=-]){{{LEAST - 1},}}+"
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
