@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, language_id, license_scan, reply_trees, secret_scan, shared, source_mix, spelling_variants, substring_dedup, token_files
+from . import ann, ball_kmeans, decontaminate, jaccard_join, language_id, license_scan, reply_trees, secret_scan, shared, source_mix, spelling_variants, substring_dedup, token_files
 from .shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,8 +72,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secret_scan, op2_license_scan, op3_jaccard_join, op4_ann, op5_reply_trees, op6_decontaminate, op7_language_id, op8_token_files, op9_substring_dedup, op10_source_mix, op12_spelling_variants)
+    every = (op1_secret_scan, op2_license_scan, op3_jaccard_join, op4_ann, op5_reply_trees, op6_decontaminate, op7_language_id, op8_token_files, op9_substring_dedup, op10_source_mix, op12_spelling_variants, op13_ball_kmeans)
     return {f.__name__: f for f in every}
 
 
@@ -85,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_substring_dedup": substring_dedup.ORACLE,
         "op10_source_mix": source_mix.ORACLE,
         "op12_spelling_variants": spelling_variants.ORACLE,
+        "op13_ball_kmeans": ball_kmeans.ORACLE,
     }
