@@ -50,6 +50,20 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({NAMELESS: F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), stand_in)})
 
 
+KEY = f"{OWN}key"
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """The rows with KEY, a hash of doc_id and text: rows that differ in either are told apart by it, whatever ids are null or repeated."""
+    i, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.withColumn(KEY, F.xxhash64(F.lit("row"), i, t, i.isNull(), t.isNull()))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and KEY."""
+    return with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+
 def as_named(docs: DataFrame, like: DataFrame) -> DataFrame:
     """What is left of named(like), with the columns of `like`."""
     return docs.withColumn("doc_id", F.when(~F.col(NAMELESS), F.col("doc_id")).cast(like.schema["doc_id"].dataType)).select(*[F.col(f"`{c}`") for c in like.columns])
@@ -86,13 +100,15 @@ def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     return may_contain(rows, key, dropped, others=True, keys=keys).unionByName(may_contain(rows, key, dropped, keys=keys).join(dropped, key, "left_anti").select(*columns))
 
 
-def recurring(rows: DataFrame, key: str, name: str, *more) -> DataFrame:
+def recurring(rows: DataFrame, key: str, name: str, *more, made: list | None = None) -> DataFrame:
     """`rows` restricted to keys that occur more than once, with how often (`times`) and the further aggregates of each key.
 
     Counts are combined before the shuffle. Keys that hold over a thousandth of what is counted are at most a
     thousand; they are broadcast, and their rows never shuffled by key. The rest has no heavy key left.
     """
     times = settle(rows.groupBy(key).agg(F.count("*").alias("times"), *more).where("times > 1"), name)
+    if made is not None:  # for whoever discards it
+        made.append(times)
     all_ = times.agg(F.sum("times")).first()[0] or 0
     heavy, light = times.where(F.col("times") > all_ / 1000), times.where(F.col("times") <= all_ / 1000)
     return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
@@ -133,5 +149,7 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         discard(labels, near)
         if new.where("was <> label").isEmpty():
             discard(both)
-            return new.select("node", "label")
+            out = new.select("node", "label")
+            out.settled = new.settled
+            return out
         labels = new

@@ -17,8 +17,8 @@ anywhere else, in the same document or another, is removed.
 Documents with equal word sequences are one class from the start: if they have a window at all, every word goes.
 
 Defined cases: null counts as empty, gives no words and the hash of an empty text. Texts shorter than a
-window lose nothing. Repeated rows repeat each other's windows. Documents with a null
-doc_id take part under a hash of their text, and have a null doc_id in the result. Other columns are ignored. An empty
+window lose nothing. Repeated rows repeat each other's windows. Rows are told apart by a hash of doc_id and text, so
+those without doc_id, or with the doc_id of another text, take part like any others (a partner is named by its doc_id). Other columns are ignored. An empty
 table gives no rows. Window hashes have 64 bits.
 """
 
@@ -76,12 +76,12 @@ def _seeds(batches, window: int, seed: int):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
-                batch.column(shared.NAMELESS),
+                batch.column(shared.KEY),
                 pa.array(w.counts.astype(np.int64)),
                 pa.array([hashlib.sha256(x).hexdigest() for x in joined(w)], pa.string()),
                 pa.ListArray.from_arrays(cut.astype(np.int32), grams[chosen].astype(np.int64)),
             ],
-            names=["doc_id", shared.NAMELESS, "n_words", "whole", "seeds"],
+            names=["doc_id", shared.KEY, "n_words", "whole", "seeds"],
         )
 
 
@@ -102,23 +102,24 @@ def _extended(batches, window: int, seed: int):
         ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                batch.column("node"),
+                batch.column("doc"),
                 pa.ListArray.from_arrays(ends, np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int32)),
                 pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64)),
             ],
-            names=["doc_id", "starts", "hashes"],
+            names=["node", "doc", "starts", "hashes"],
         )
 
 
 def extended(document: np.ndarray, start: np.ndarray, partner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Recurring windows grown to maximal repeats: document, start, words, partner and place there of each, document by document."""
+    """Recurring windows grown to maximal repeats: document, start, words and place at the partner of each, document by document, and which of the given windows is its first."""
     order = np.lexsort((start, start - at, partner, document))
     document, start, partner, at = document[order], start[order], partner[order], at[order]
     new = np.ones(len(order), bool)
     new[1:] = (document[1:] != document[:-1]) | (partner[1:] != partner[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(order)) - 1
-    return document[first], start[first], (start[last[: len(first)]] - start[first] + window), partner[first], at[first]
+    return document[first], start[first], (start[last[: len(first)]] - start[first] + window), at[first], order[first]
 
 
 _REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("partner", pa.int64()), ("at", pa.int32())]))
@@ -129,18 +130,19 @@ def _kept(batches, window: int):
         w = Words(batch.column("text"))
         found = batch.column("found")
         size, flat = found.value_lengths().to_numpy(), found.flatten()
-        start, partner, there = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        start, partner, there = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
         change = np.zeros(len(w.starts) + 1, np.int64)
         at = np.repeat(w.first[:-1], size) + start
         np.add.at(change, at, 1)
         np.add.at(change, at + window, -1)
         gone = np.cumsum(change[:-1]) > 0
         total = np.concatenate([[0], np.cumsum(gone)])
-        document, *repeats = extended(np.repeat(np.arange(batch.num_rows), size), start, partner, there, window)
-        lists = pa.ListArray.from_arrays(np.searchsorted(document, np.arange(batch.num_rows + 1)).astype(np.int32), pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(repeats, _REPEATS.value_type)], fields=list(_REPEATS.value_type)))
+        document, begin, length, place, which = extended(np.repeat(np.arange(batch.num_rows), size), start, partner, there, window)
+        repeats = (pa.array(begin, pa.int32()), pa.array(length, pa.int32()), flat.field(2).take(pa.array(which)), pa.array(place, pa.int32()))
+        lists = pa.ListArray.from_arrays(np.searchsorted(document, np.arange(batch.num_rows + 1)).astype(np.int32), pa.StructArray.from_arrays(repeats, fields=list(_REPEATS.value_type)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(total[w.first]).astype(np.int64)), pa.array([x.decode("utf-8", "replace") for x in joined(w, ~gone)], pa.string()), lists],
-            names=["doc_id", "n_removed", "kept", "repeats"],
+            [batch.column("node"), pa.array(np.diff(total[w.first]).astype(np.int64)), pa.array([x.decode("utf-8", "replace") for x in joined(w, ~gone)], pa.string()), lists],
+            names=["node", "n_removed", "kept", "repeats"],
         )
 
 
@@ -148,31 +150,35 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
     """doc_id, n_words, n_removed, kept (text; null if nothing was removed), repeats (null if none, or if the whole document recurs) and kept_sha256 of every document of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     shared.tune(spark)
-    docs = shared.named(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    found = shared.settle(docs.mapInArrow(lambda b: _seeds(b, window, seed), f"doc_id long, {shared.NAMELESS} boolean, n_words long, whole string, seeds array<long>"), "seeds")
-    classes = found.groupBy("whole").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min_by("seeds", "doc_id").alias("seeds"))
-    classes = shared.settle(classes, "classes")
+    docs = shared.keyed(docs)
+    found = shared.settle(docs.mapInArrow(lambda b: _seeds(b, window, seed), f"doc_id long, {shared.KEY} long, n_words long, whole string, seeds array<long>"), "seeds")
+    classes = found.groupBy("whole").agg(F.min(shared.KEY).alias("node"), F.min_by("doc_id", shared.KEY).alias("doc"), F.count("*").alias("copies"), F.min_by("seeds", shared.KEY).alias("seeds"))
+    classes, made = shared.settle(classes, "classes"), []
 
-    planted = classes.select("node", F.explode("seeds").alias("seed"))
-    recurring = shared.recurring(planted, "seed", "seed-counts").groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("seed").alias("seeds"))
+    planted = classes.select("node", "doc", F.explode("seeds").alias("seed"))
+    recurring = shared.recurring(planted, "seed", "seed-counts", made=made).groupBy("node").agg(F.first("doc").alias("doc"), F.collect_set("seed").alias("seeds"))
     recurring = shared.settle(recurring, "recurring")
-    text = shared.may_contain(docs, "doc_id", recurring)
-    windows = text.join(recurring, "doc_id").select("doc_id", "text", "seeds").mapInArrow(lambda b: _extended(b, window, seed), "doc_id long, starts array<int>, hashes array<long>")
-    windows = shared.settle(windows, "windows").select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
-    single = classes.where("copies = 1").select(F.col("node").alias("doc_id"))
-    ends = [F.min("doc_id").alias("least_doc"), F.min_by("start", "doc_id").alias("least_at"), F.max("doc_id").alias("most_doc"), F.max_by("start", "doc_id").alias("most_at")]
-    mine = F.col("least_doc") == F.col("doc_id")
-    window_of = F.struct("start", F.when(mine, F.col("most_doc")).otherwise(F.col("least_doc")).alias("partner"), F.when(mine, F.col("most_at")).otherwise(F.col("least_at")).alias("at"))
-    repeats = shared.recurring(windows, "hash", "window-counts", *ends).groupBy("doc_id").agg(F.collect_list(window_of).alias("found")).join(single, "doc_id")
+    docs = docs.select(F.col(shared.KEY).alias("node"), "text")
+    text = shared.may_contain(docs, "node", recurring)
+    windows = text.join(recurring, "node").select("node", "doc", "text", "seeds").mapInArrow(lambda b: _extended(b, window, seed), "node long, doc long, starts array<int>, hashes array<long>")
+    made.append(windows := shared.settle(windows, "windows"))
+    windows = windows.select("node", "doc", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("node", "doc", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
+    single = classes.where("copies = 1").select("node")
+    place = F.struct("node", "doc", "start")
+    mine = F.col("least.node") == F.col("node")
+    other = lambda c: F.when(mine, F.col(f"most.{c}")).otherwise(F.col(f"least.{c}"))
+    window_of = F.struct("start", other("node").alias("partner"), other("doc").alias("doc"), other("start").alias("at"))
+    repeats = shared.recurring(windows, "hash", "window-counts", F.min(place).alias("least"), F.max(place).alias("most"), made=made).groupBy("node").agg(F.collect_list(window_of).alias("found")).join(single, "node")
     repeats = shared.settle(repeats, "repeats")
+    shared.discard(recurring, *made)
     lists = "array<struct<start:int,n_words:int,partner:bigint,at:int>>"
-    cut = shared.may_contain(docs, "doc_id", repeats).join(repeats, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda b: _kept(b, window), f"doc_id long, n_removed long, kept string, repeats {lists}")
-    cut = cut.select(F.col("doc_id").alias("node"), "n_removed", "kept", "repeats", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    cut = shared.may_contain(docs, "node", repeats).join(repeats, "node").select("node", "text", "found").mapInArrow(lambda b: _kept(b, window), f"node long, n_removed long, kept string, repeats {lists}")
+    cut = cut.select("node", "n_removed", "kept", "repeats", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
     known = classes.select("whole", "node", "copies").join(cut, "node", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    return found.select("doc_id", shared.NAMELESS, "n_words", "whole").join(known, "whole").select(
-        F.when(~F.col(shared.NAMELESS), F.col("doc_id")).alias("doc_id"),
+    return found.select("doc_id", "n_words", "whole").join(known, "whole").select(
+        "doc_id",
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(all_gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
