@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ball_kmeans, decontaminate, jaccard_join, language_id, license_scan, reply_trees, secret_scan, shared, source_mix, spelling_variants, substring_dedup, token_files
+from . import ann, ball_kmeans, decontaminate, jaccard_join, language_id, license_scan, personal_data, reply_trees, secret_scan, shared, source_mix, spelling_variants, substring_dedup, token_files
 from .shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", F.get("source_sizes", F.lit(0)).alias("source_size"), F.get("targets", F.lit(0)).alias("target"), "taken")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_digest(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secret_scan, op2_license_scan, op3_jaccard_join, op4_ann, op5_reply_trees, op6_decontaminate, op7_language_id, op8_token_files, op9_substring_dedup, op10_source_mix, op12_spelling_variants, op13_ball_kmeans)
+    every = (op1_secret_scan, op2_license_scan, op3_jaccard_join, op4_ann, op5_reply_trees, op6_decontaminate, op7_language_id, op8_token_files, op9_substring_dedup, op10_source_mix, op11_personal_data, op12_spelling_variants, op13_ball_kmeans)
     return {f.__name__: f for f in every}
 
 
