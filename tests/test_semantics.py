@@ -256,11 +256,11 @@ def test_quantiles_and_running_over_ranges(spark):
     rows = [(i, rng.choice("ab"), float(rng.randint(0, 40)), rng.random() < 0.5 if rng.random() < 0.9 else None) for i in range(900)]
     df = spark.createDataFrame(rows, "i long, run string, v double, ok boolean")
     for by in ([], ["run"]):
-        got = {(tuple(r[k] for k in by), r.p): r.value for r in spatial.quantiles(df, "v", (0.0, 0.5, 0.95, 1.0), by, parts=7).collect()}
+        got = {(tuple(r[k] for k in by), r.p): r.value for r in spatial.quantiles(df, "v", (0.0, 0.5, 0.95, 1.0), by).collect()}
         for group in [()] if not by else [("a",), ("b",)]:
             v = sorted(r[2] for r in rows if not group or r[1] == group[0])
             assert all(got[group, p] == v[min(len(v) - 1, int(len(v) * p))] for p in (0.0, 0.5, 0.95, 1.0))
-    got = {(r.run, r.n): r.accuracy for r in metrics.running(df, "i", 10, parts=5).collect()}
+    got = {(r.run, r.n): r.accuracy for r in metrics.running(df, "i", 10).collect()}
     for run in "ab":
         own = [r[3] for r in rows if r[1] == run]
         for n in range(10, len(own) + 1, 10):

@@ -180,11 +180,56 @@ def bar(n: Column, most: Column, width: int = 40) -> Column:
     return F.repeat(F.lit("#"), F.when(most > 0, F.floor(n * width / most)).otherwise(0).cast("int"))
 
 
-def digit_runs(text: Column) -> Column:
-    """The longest runs of digits: an array of (start from 1, digits)."""
-    at = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).rlike("[0-9]") & ~F.substring(F.concat(F.lit("x"), text), i, F.lit(1)).rlike("[0-9]"))
-    starts = F.when(F.length(text) > 0, at).when(text.isNotNull(), F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.regexp_extract(F.substring(text, i, F.length(text)), "^[0-9]+", 0).alias("digits")))
+_BLOCK = 256
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array what those before it add up to, block by block, so the work follows the length."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda i: F.slice(numbers, i * _BLOCK + 1, _BLOCK))
+    inner = lambda block, base: F.transform(block, lambda x, j: base + add(F.slice(block, F.lit(1), j)))
+    every = lambda b: _let(F.transform(b, add), lambda sums: F.flatten(F.transform(b, lambda block, i: _let(add(F.slice(sums, F.lit(1), i)), lambda base: inner(block, base)))))
+    return F.when(F.size(numbers) > 0, _let(blocks, every)).when(numbers.isNotNull(), F.array().cast("array<int>"))
+
+
+def digit_runs(text: Column, pattern: str = "[0-9]+") -> Column:
+    """The longest runs of digits (or other matches of a pattern): an array of (start from 1, digits)."""
+    between = F.split(text, pattern, -1)
+    steps = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), between, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"))), lambda x: x["m"].isNotNull())
+    starts = lambda s: sums_before(F.transform(s, lambda x: x["gap"] + F.length(x["m"])))
+    return _let(steps, lambda s: F.zip_with(s, starts(s), lambda x, before: F.struct((before + x["gap"] + 1).alias("start"), x["m"].alias("digits"))))
+
+
+# How the two coordinates of a target stand in its JSON.
+_X, _Y = r'"x":\s*(-?\d*\.?\d+)', r'"y":\s*(-?\d*\.?\d+)'
+
+
+def coordinate_places(target: Column) -> Column:
+    """Where the digits of a tap's coordinates stand in its target text: (tap, found, x, y, x_at, y_at, x_places, y_places), null unless the text is the JSON of a tap with both coordinates in 0 to 1.
+
+    The last two runs of digits and points have to hold the digits of x and y; `found` says whether they do, and the rest is null where they don't. Positions are from 1.
+    """
+    json = F.try_parse_json(target)
+    tap = F.try_variant_get(json, "$.action", "string") == "tap"
+    number = lambda p: F.regexp_extract(target, p, 1)
+    x, y = number(_X), number(_Y)
+    inside = lambda v: v.try_cast("double").between(0.0, 1.0)
+    some = F.filter(digit_runs(target, "[0-9.]+"), lambda r: r["digits"].rlike("[0-9]"))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    at = lambda r: F.transform(digit_runs(r["digits"], "[0-9]"), lambda d: (r["start"] + d["start"] - 1).cast("int"))
+
+    def placed(runs: Column) -> Column:
+        a, b = F.get(runs, F.size(runs) - 2), F.get(runs, F.size(runs) - 1)
+        found = F.coalesce((F.size(runs) >= 2) & (digits(a["digits"]) == digits(x)) & (digits(b["digits"]) == digits(y)), F.lit(False))
+        if_found = lambda c: F.when(found, c)
+        return F.struct(found.alias("found"), x.try_cast("double").alias("x"), y.try_cast("double").alias("y"), if_found(at(a)).alias("x_at"), if_found(at(b)).alias("y_at"), if_found(place_values(F.ltrim(x, F.lit("-")))).alias("x_places"), if_found(place_values(F.ltrim(y, F.lit("-")))).alias("y_places"))
+
+    return F.when(F.coalesce(tap & inside(x) & inside(y), F.lit(False)), _let(some, placed))
 
 
 def png_size(data: Column) -> Column:

@@ -52,6 +52,13 @@ def by_dimension(compared: DataFrame, dimension: str) -> DataFrame:
     return out.withColumn("net", F.col("gain") - F.col("regression"))
 
 
+def by_dimensions(compared: DataFrame, dimensions: list[str]) -> DataFrame:
+    """category, the dimensions, level, n: the buckets over all and by each dimension, in one pass. `level` has a bit for each dimension that a row sums over, the last one lowest."""
+    sets = [["category"], *[["category", d] for d in dimensions]]
+    level = sum((F.grouping(d).cast("int") * 2 ** (len(dimensions) - 1 - i) for i, d in enumerate(dimensions)), F.lit(0))
+    return compared.groupingSets([[F.col(c) for c in s] for s in sets], "category", *dimensions).agg(level.alias("level"), F.count("*").alias("n"))
+
+
 def predicted_in(compared: DataFrame) -> DataFrame:
     """What either run predicted in regressions and gains: category, run, pred_type, n."""
     long = compared.where(F.col("category").isin("regression", "gain")).selectExpr("category", "stack(2, 'a', a_pred, 'b', b_pred) AS (run, pred_type)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import actions, geometry, text
 from . import elements, match
 
@@ -100,24 +101,32 @@ def rescored(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col("was")).alias("old"), share(F.col("ok")).alias("new"), (share(F.col("ok")) - share(F.col("was"))).alias("delta"), count_if(~F.col("was").eqNullSafe(F.col("ok"))).alias("flips"))
 
 
-def running(rows: DataFrame, position: str, every: int = 25, by: str = "run", parts: int = 256) -> DataFrame:
-    """Accuracy so far at every `every`-th row of a run. A run is cut to `parts` ranges of positions that are summed first, so no task orders a whole run."""
-    cut = stretches(rows.select(by, position, F.col("ok").cast("double").alias("ok")), position, [by], parts)
-    sums = cut.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.count("ok").alias("_k"), F.sum("ok").alias("_ok"))
-    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(by, "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_k", "_ok")])
-    w = Window.partitionBy(by, "_part").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(sums), [by, "_part"])
-    out = out.select(by, (F.col("_n") + F.count("*").over(w)).alias("n"), ((F.col("_ok") + F.coalesce(F.sum("ok").over(w), F.lit(0.0))) / F.nullif(F.col("_k") + F.count("ok").over(w), F.lit(0))).alias("accuracy"))
-    return out.where(F.col("n") % every == 0)
-
-
-def stretches(rows: DataFrame, value: str, by: list[str], parts: int) -> DataFrame:
-    """Add _part: which of `parts` ranges of about equal size in its group a value lies in. A row a group is broadcast."""
-    points = [i / parts for i in range(1, parts)]
-    bounds = rows.groupBy(*by).agg(F.percentile_approx(value, points, 4 * parts).alias("_bounds"))
-    out = rows.join(F.broadcast(bounds), by) if by else rows.crossJoin(F.broadcast(bounds))
-    return out.withColumn("_part", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))).drop("_bounds")
+def running(rows: DataFrame, position: str, every: int = 25, by: str = "run") -> DataFrame:
+    """Accuracy so far at every `every`-th row of a run, whatever the number of runs or a run's rows (see `prefix_sums`)."""
+    ok = F.col("ok").cast("double")
+    rows = rows.select(by, position, F.lit(1).cast("long").alias("_n"), ok.isNotNull().cast("long").alias("_k"), F.coalesce(ok, F.lit(0.0)).alias("_ok"))
+    out = prefix_sums(rows, [by], [position], ["_n", "_k", "_ok"]).withColumns({c: F.col(c) + F.col(f"{c}_before") for c in ("_n", "_k", "_ok")})
+    return out.where(F.col("_n") % every == 0).select(by, F.col("_n").alias("n"), (F.col("_ok") / F.nullif("_k", F.lit(0))).alias("accuracy"))
+
+
+def prefix_sums(rows: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Add for each of `values` its sum over the earlier rows of the group (`<name>_before`, 0 for the first).
+
+    Rows are sorted by range over all groups together, so a partition holds many small groups or a piece of a large one; what pieces sum to is added up in a second pass.
+    Sorted pieces are written to the shared folder once, because ranges follow from a sample. Nothing is broadcast or collected.
+    """
+    spark, path = rows.sparkSession, scratch.new_path(rows.sparkSession, "pieces")
+    cut = rows.repartitionByRange(*by, *order).withColumn("_piece", F.spark_partition_id())
+    cut.write.parquet(path)
+    cut = spark.read.schema(cut.schema).parquet(path)
+    keys = [*(by or []), "_piece"]
+    sums = cut.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+    sums = sums.select(*keys, *[F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_sum_{v}") for v in values])
+    here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    out = cut.alias("a").join(sums.alias("b"), pieces).select("a.*", *[f"b._sum_{v}" for v in values])
+    return out.select(*rows.columns, *[(F.col(f"_sum_{v}") + F.coalesce(F.sum(v).over(here), F.lit(0))).alias(f"{v}_before") for v in values])
 
 
 def flip_rate(rows: DataFrame, was: str = "down", said: str = "up") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from .metrics import count_if, share, stretches
+from .metrics import count_if, share, prefix_sums
 
 # The points that collapsed models favour.
 CANONICAL = ((0.5, 0.5), (0.5, 0.1), (0.5, 0.9), (0.0, 0.5), (0.0, 0.0))
@@ -37,21 +37,16 @@ def distances(rows: DataFrame, d: str, radius: float = geometry.RADIUS) -> DataF
     return rows.agg(F.count("*").alias("n"), count_if(F.col(d) <= radius).alias("within"), share(F.col(d) <= radius).alias("share"), F.max(d).alias("max"))
 
 
-def quantiles(rows: DataFrame, value: str, ps: tuple[float, ...] = (0.5, 0.75, 0.95), by: list[str] | None = None, parts: int = 256) -> DataFrame:
-    """The value at place floor(n p) of the sorted values, from 0 (not what percentile functions give).
-
-    Values are counted first, and a group's are cut to `parts` ranges of which only those are ordered that hold a wanted place."""
+def quantiles(rows: DataFrame, value: str, ps: tuple[float, ...] = (0.5, 0.75, 0.95), by: list[str] | None = None) -> DataFrame:
+    """The value at place floor(n p) of the sorted values, from 0 (not what percentile functions give). Values are counted first, and their counts summed in order (see `prefix_sums`)."""
     by = by or []
     n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    cut = stretches(n, value, by, parts)
-    w = Window.partitionBy(*(by or [F.lit(1)]))  # over `parts` sums a group
-    sums = cut.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
-    sums = sums.withColumn("_until", F.sum("_in").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_in").over(w))
-    sums = sums.withColumn("p", F.explode(F.array(*map(F.lit, ps)))).withColumn("_place", F.least(F.floor(F.col("_all") * F.col("p")), F.col("_all") - 1))
-    sums = sums.where((F.col("_until") - F.col("_in") <= F.col("_place")) & (F.col("_place") < F.col("_until"))).withColumn("_before", F.col("_until") - F.col("_in"))
-    near = cut.join(F.broadcast(sums.select(*by, "_part", "p", "_place", "_before")), [*by, "_part"])
-    to = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return near.withColumn("_to", to).where((F.col("_to") - F.col("_n") <= F.col("_place")) & (F.col("_place") < F.col("_to"))).select(*by, "p", F.col(value).alias("value"))
+    placed = prefix_sums(n, by, [value], ["_n"])
+    all_ = placed.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    placed = placed.alias("a").join(all_.alias("b"), same).select("a.*", "b._all") if by else placed.crossJoin(F.broadcast(all_))  # one row
+    placed = placed.withColumn("p", F.explode(F.array(*map(F.lit, ps)))).withColumn("_place", F.least(F.floor(F.col("_all") * F.col("p")), F.col("_all") - 1))
+    return placed.where((F.col("_n_before") <= F.col("_place")) & (F.col("_place") < F.col("_n_before") + F.col("_n"))).select(*by, "p", F.col(value).alias("value"))
 
 
 def near_canonical(rows: DataFrame, x: str, y: str, radius: float = 0.05) -> DataFrame:

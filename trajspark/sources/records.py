@@ -2,8 +2,11 @@
 
 A record is framed as its length (8 bytes, little-endian), a checksum (4), the data, and another checksum (4). gzip
 cannot be split, so a shard is a partition. Paths go through pyarrow's file systems (local, S3, HDFS, ...; a path with a scheme, or a local one), and may hold
-wildcards in their last part. Checksums are skipped unless the option `verify` is true (slow: it runs byte by byte); a wrong one and a record cut short are
-errors. The reader streams: a task holds one Arrow batch of BATCH records at a time.
+wildcards in their last part. Checksums are skipped unless the option `verify` is true; a wrong one and a record cut short are
+errors. The reader streams: a task holds one Arrow batch of BATCH records at a time, and decodes it as a whole (see `wire`).
+
+The writer takes the column `features`. Each task writes a shard to a folder of the job's own; the driver moves shards to their names when all have ended, and deletes that folder whether they
+ended or failed. So a failed or repeated task leaves nothing, and readers see whole shards only.
 """
 
 from __future__ import annotations
@@ -11,39 +14,27 @@ from __future__ import annotations
 import fnmatch
 import gzip
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .. import schemas
+from . import wire
 
 BATCH = 16
 SCHEMA = "features MAP<STRING, STRUCT<bytes_list:ARRAY<BINARY>, float_list:ARRAY<FLOAT>, int64_list:ARRAY<BIGINT>>>, shard STRING, position BIGINT"
 
 
-def _table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        out.append(n)
-    return out
-
-
-_CRC = _table()
-
-
 def checksum(data: bytes) -> int:
     """The masked CRC-32C of a frame's length or data."""
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc = crc >> 8 ^ _CRC[(crc ^ byte) & 255]
-    crc ^= 0xFFFFFFFF
+    crc = int(wire.crc32c(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([len(data)]))[0])
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
@@ -69,106 +60,149 @@ def frame(data: bytes) -> bytes:
     return size + struct.pack("<I", checksum(size)) + data + struct.pack("<I", checksum(data))
 
 
-def fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
-    """(number, wire type, value) of a protobuf message."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        value = shift = 0
-        while True:
-            byte = data[at]
-            at += 1
-            value |= (byte & 127) << shift
-            if byte < 128:
-                return value
-            shift += 7
-
-    while at < len(data):
-        tag = varint()
-        kind = tag & 7
-        if kind == 0:
-            yield tag >> 3, kind, varint()
-            continue
-        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
-        if at + size > len(data):
-            raise OSError("truncated message")
-        yield tag >> 3, kind, data[at : at + size]
-        at += size
-
-
-def _integers(data: bytes) -> Iterator[int]:
-    value = shift = 0
-    for byte in data:
-        value |= (byte & 127) << shift
-        shift += 7
-        if byte < 128:
-            yield value - (1 << 64) if value >> 63 else value
-            value = shift = 0
-
-
-def example(data: bytes) -> dict[str, tuple]:
-    """Feature maps: message 1 holds entries (1: key, 2: feature), a feature one list (1: bytes, 2: floats, 3: integers)."""
-    out = {}
-    for _, _, whole in fields(data):
-        for _, _, entry in fields(whole):
-            parts = dict((n, v) for n, _, v in fields(entry))
-            lists: list[list] = [[], [], []]
-            for n, _, inner in fields(parts.get(2, b"")):
-                for _, kind, v in fields(inner):
-                    if n == 1:
-                        lists[0].append(v)
-                    elif n == 2:
-                        lists[1] += [x for (x,) in struct.iter_unpack("<f", v)]
-                    else:
-                        lists[2] += list(_integers(v)) if kind == 2 else [v - (1 << 64) if v >> 63 else v]
-            out[parts[1].decode()] = tuple(lists)
-    return out
-
-
 # Field numbers of the public accessibility messages (windows, tree, nodes; a node's fields; a rectangle's sides).
 WINDOWS, TREE, NODES = 1, 11, 1
 NODE = {1: "unique_id", 2: "bounds", 3: "class_name", 4: "content_description", 7: "text", 10: "view_id_resource_name", 14: "is_clickable", 15: "is_editable", 19: "is_long_clickable", 23: "is_visible_to_user", 27: "depth"}
 SIDES = {1: "left", 2: "top", 3: "right", 4: "bottom"}
 
 
-def _signed(v: int) -> int:
-    return v - (1 << 64) if v >> 63 else v
-
-
-def nodes(forest: bytes) -> list[dict]:
-    """The nodes of all windows of a forest, in order; what a message leaves out has its default."""
-    out = []
-    for number, _, window in fields(forest):
-        for inner, _, tree in fields(window) if number == WINDOWS else ():
-            for n, _, node in fields(tree) if inner == TREE else ():
-                if n != NODES:
-                    continue
-                row = {"unique_id": 0, "bounds": dict.fromkeys(SIDES.values(), 0), "depth": 0} | {k: "" for k in ("text", "content_description", "view_id_resource_name", "class_name")}
-                row |= {k: False for k in NODE.values() if k.startswith("is_")}
-                for k, _, v in fields(node):
-                    name = NODE.get(k)
-                    if name == "bounds":
-                        row[name] |= {SIDES[i]: _signed(x) for i, _, x in fields(v) if i in SIDES}
-                    elif name:
-                        row[name] = v.decode("utf-8", "replace") if isinstance(v, bytes) else v != 0 if name.startswith("is_") else _signed(v)
-                out.append(row)
-    return out
-
-
-def _nodes_or_none(forest) -> list[dict]:
-    try:
-        return nodes(bytes(forest)) if forest is not None else []
-    except (OSError, IndexError, AttributeError, TypeError, KeyError):
-        return []
+_LISTS = pa.struct([("bytes_list", pa.list_(pa.binary())), ("float_list", pa.list_(pa.float32())), ("int64_list", pa.list_(pa.int64()))])
+
+
+class Level:
+    """Messages of one depth in all rows: their fields, and the row that each message belongs to. `broken` says which rows can't be read."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, broken: np.ndarray):
+        self.data, self.row, self.broken = data, row, broken
+        self.fields = wire.fields(data, start, end)
+        broken[row[self.fields.broken]] = True
+
+        self._sorted = None
+
+    def of(self, number: int) -> wire.Fields:
+        """The fields of a number."""
+        if self._sorted is None:
+            order = np.argsort(self.fields.number, kind="stable")
+            self._sorted = self.fields.where(order)
+        a, z = np.searchsorted(self._sorted.number, [number, number + 1])
+        return self._sorted.where(slice(a, z))
+
+    def below(self, number: int | None = None) -> "Level":
+        """The messages in fields of a number (None: in all fields); integers there break their row."""
+        f = self.fields if number is None else self.of(number)
+        row, whole = self.row[f.owner], f.kind != 0
+        self.broken[row[~whole]] = True
+        return Level(self.data, np.where(whole, f.start, 0), np.where(whole, f.end, 0), row, self.broken)
+
+    def last(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each message where the bytes of its last field of a number are, its integer value, and its kind (-1: it has none)."""
+        f, n = self.of(number), len(self.row)
+        start, end, value, kind = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64), np.full(n, -1)
+        start[f.owner], end[f.owner], value[f.owner], kind[f.owner] = f.start, f.end, f.value, f.kind
+        return start, end, value, kind
+
+
+def _listed(owner: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """Values in the order of their owners, as a list for each of `rows`."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), values)
+
+
+def examples(column: pa.Array) -> tuple[pa.MapArray, np.ndarray]:
+    """The feature maps of a column of records, and which records can't be read (their maps are empty). A record's messages hold entries (1: key, 2: feature), a feature one list (1: bytes, 2: floats, 3: integers).
+
+    Of entries with one key the last counts.
+    """
+    data, start, end = wire.buffer(column)
+    broken = np.zeros(len(start), bool)
+    entries = Level(data, start, end, np.arange(len(start)), broken).below().below()
+    key, feature = entries.last(1), entries.last(2)
+    broken[entries.row[(key[3] <= 0) | (feature[3] == 0)]] = True
+    lists = Level(data, feature[0], feature[1], entries.row, broken)
+    number, of = lists.fields.number, lists.fields.owner
+    inner = lists.below()
+    f, number, of = inner.fields, number[inner.fields.owner], of[inner.fields.owner]
+    n = len(entries.row)
+
+    some = number == 1
+    broken[entries.row[of[some & (f.kind == 0)]]] = True
+    some &= f.kind != 0
+    as_bytes = _listed(of[some], n, wire.binaries(data, f.start[some], f.end[some]).cast(pa.binary()))
+    some = number == 2
+    broken[entries.row[of[some & ((f.kind == 0) | ((f.end - f.start) % 4 != 0))]]] = True
+    some &= (f.kind != 0) & ((f.end - f.start) % 4 == 0)
+    raw, at = wire.gathered(data, f.start[some], f.end[some])
+    floats = _listed(np.repeat(of[some], np.diff(at) // 4), n, pa.array(np.ascontiguousarray(raw).view("<f4"), pa.float32()))
+    some = (number != 1) & (number != 2)
+    broken[entries.row[of[some & ((f.kind == 1) | (f.kind == 5))]]] = True
+    many, one = some & (f.kind == 2), some & (f.kind == 0)
+    value, count = wire.packed(data, f.start[many], f.end[many])
+    place = np.concatenate([np.repeat(np.flatnonzero(many), count), np.flatnonzero(one)])  # packed and single integers, as they stand
+    order = np.argsort(place, kind="stable")
+    integers = _listed(of[place[order]], n, pa.array(wire.signed(np.concatenate([value, f.value[one]]))[order], pa.int64()))
+
+    keys = wire.strings(data, key[0], key[1])
+    keep = ~broken[entries.row]
+    if len(keys):
+        row_key = pa.table({"row": entries.row, "key": keys, "at": np.arange(n)}).group_by(["row", "key"]).aggregate([("at", "max")])
+        latest = np.zeros(n, bool)
+        latest[row_key.column("at_max").to_numpy()] = True
+        keep &= latest
+    kept = pa.array(np.flatnonzero(keep))
+    items = pa.StructArray.from_arrays([x.take(kept) for x in (as_bytes, floats, integers)], fields=list(_LISTS))
+    return pa.MapArray.from_arrays(pa.array(np.searchsorted(entries.row[keep], np.arange(len(start) + 1)), pa.int32()), keys.take(kept), items), broken
+
+
+_SIDES = [pa.field(s, pa.int32()) for s in ("left", "top", "right", "bottom")]
+
+
+def _whole_numbers(value: np.ndarray, row: np.ndarray, broken: np.ndarray) -> pa.Array:
+    """Integers of 32 bits; others break their row."""
+    v = wire.signed(value)
+    wide = (v < -(1 << 31)) | (v >= 1 << 31)
+    broken[row[wide]] = True
+    return pa.array(np.where(wide, 0, v), pa.int32())
+
+
+def forest_nodes(forests: pa.Array) -> pa.ListArray:
+    """The nodes of all windows of each forest (null: none), in order; what a message leaves out has its default. A forest that can't be read, or has a field of another type, has no nodes."""
+    data, start, end = wire.buffer(forests)
+    broken = np.zeros(len(start), bool)
+    found = Level(data, start, end, np.arange(len(start)), broken).below(WINDOWS).below(TREE).below(NODES)
+    row, columns = found.row, {}
+    for number, name in NODE.items():
+        begin, stop, value, kind = found.last(number)
+        if name == "bounds":
+            bounds = found.below(number)
+            owner = found.of(number).owner
+            sides = {s: np.zeros(len(row), np.uint64) for s in SIDES.values()}
+            for side, s in SIDES.items():
+                f = bounds.of(side)
+                broken[bounds.row[f.owner[f.kind != 0]]] = True
+                sides[s][owner[f.owner]] = f.value  # later ones replace earlier ones
+            columns[name] = pa.StructArray.from_arrays([_whole_numbers(sides[f.name], row, broken) for f in _SIDES], fields=_SIDES)
+        elif name in ("unique_id", "depth"):
+            broken[row[kind > 0]] = True
+            columns[name] = _whole_numbers(value, row, broken)
+        elif name.startswith("is_"):
+            broken[row[kind > 0]] = True
+            columns[name] = pa.array(value != 0)
+        else:
+            broken[row[kind == 0]] = True
+            columns[name] = wire.strings(data, begin, stop)
+    keep = ~broken[row]
+    names = [*("unique_id", "bounds", "text", "content_description", "view_id_resource_name", "class_name", "is_clickable", "is_long_clickable", "is_editable", "is_visible_to_user", "depth")]
+    every = pa.StructArray.from_arrays([columns[n] for n in names], names=names)
+    return _listed(row[keep], len(start), every.filter(pa.array(keep)))
 
 
 def decoded_forests(forests: Column) -> Column:
-    """An array of forests as an array of arrays of raw nodes, in Arrow batches; an undecodable forest has none."""
+    """An array of forests as an array of arrays of raw nodes, an Arrow batch at a time; an undecodable forest has none."""
 
-    @F.pandas_udf(f"array<array<struct<{schemas.RAW_NODE}>>>")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda every: [_nodes_or_none(f) for f in every] if every is not None else [])
+    @F.arrow_udf(f"array<array<struct<{schemas.RAW_NODE}>>>")
+    def decode(lists: pa.Array) -> pa.Array:
+        flat = forest_nodes(lists.flatten())
+        size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
 
     return decode(forests)
 
@@ -184,6 +218,9 @@ class RecordSource(DataSource):
     def reader(self, schema) -> "RecordReader":
         return RecordReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> "RecordWriter":
+        return RecordWriter(self.options["path"], overwrite)
+
 
 def _located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -206,14 +243,83 @@ class RecordReader(DataSourceReader):
 
     def read(self, partition: InputPartition):
         where, path = _located(partition.value)
-        lists = pa.struct([("bytes_list", pa.list_(pa.binary())), ("float_list", pa.list_(pa.float32())), ("int64_list", pa.list_(pa.int64()))])
-        kinds, rows = pa.schema([("features", pa.map_(pa.string(), lists)), ("shard", pa.string()), ("position", pa.int64())]), []
+        held, first = [], 0
         with where.open_input_stream(path, compression=None) as raw, gzip.open(raw, "rb") as stream:
-            for i, data in enumerate(frames(stream, partition.value, self.verify)):
-                features = [(k, dict(zip(("bytes_list", "float_list", "int64_list"), v))) for k, v in example(data).items()]
-                rows.append({"features": features, "shard": partition.value, "position": i})
-                if len(rows) == BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, kinds)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+            for data in frames(stream, partition.value, self.verify):
+                held.append(data)
+                if len(held) == BATCH:
+                    yield _batch(held, partition.value, first)
+                    held, first = [], first + BATCH
+        if held:
+            yield _batch(held, partition.value, first)
+
+
+def _batch(records: list[bytes], shard: str, first: int) -> pa.RecordBatch:
+    found, broken = examples(pa.array(records, pa.large_binary()))
+    if broken.any():
+        raise OSError(f"record {first + int(broken.argmax())} of {shard} can't be decoded")
+    return pa.RecordBatch.from_arrays([found, pa.array([shard] * len(records)), pa.array(np.arange(first, first + len(records)))], names=["features", "shard", "position"])
+
+
+def _number(v: int) -> bytes:
+    out = bytearray()
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    return bytes([*out, v])
+
+
+def _field(n: int, data: bytes) -> bytes:
+    return _number(n << 3 | 2) + _number(len(data)) + data
+
+
+def encoded(features: list[tuple[str, dict]]) -> bytes:
+    """A record's feature maps as a message; of a feature's lists the first that has values counts."""
+    entries = []
+    for key, lists in features:
+        kinds = (("bytes_list", lambda v: b"".join(_field(1, x) for x in v)), ("float_list", lambda v: _field(1, np.array(v, "<f4").tobytes())), ("int64_list", lambda v: _field(1, b"".join(_number(x & (1 << 64) - 1) for x in v))))
+        feature = next((_field(i, f(lists[k])) for i, (k, f) in enumerate(kinds, 1) if lists and lists[k]), b"")
+        entries.append(_field(1, _field(1, key.encode()) + _field(2, feature)))
+    return _field(1, b"".join(entries))
+
+
+@dataclass
+class Shard(WriterCommitMessage):
+    name: str
+    records: int
+
+
+class RecordWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
+        where, base = _located(self.path)
+        where.create_dir(f"{base}/{self.job}", recursive=True)
+        name, n = uuid.uuid4().hex, 0
+        with where.open_output_stream(f"{base}/{self.job}/{name}", compression=None) as raw, gzip.open(raw, "wb") as stream:
+            for batch in iterator:
+                for row in batch.column("features"):
+                    stream.write(frame(encoded(row.as_py() or [])))
+                    n += 1
+        return Shard(name, n)
+
+    def commit(self, messages: list[Shard | None]) -> None:
+        where, base = _located(self.path)
+        shards = [m for m in messages if m is not None and m.records]
+        if self.overwrite and where.get_file_info(base).type == fs.FileType.Directory:
+            for f in where.get_file_info(fs.FileSelector(base)):
+                if f.is_file:
+                    where.delete_file(f.path)
+        stem = self.job.rpartition("-")[2][:8]
+        where.create_dir(base, recursive=True)
+        for i, m in enumerate(shards):
+            where.move(f"{base}/{self.job}/{m.name}", f"{base}/{stem}-{i:05d}-of-{len(shards):05d}.gz")
+        self._clean(where, base)
+
+    def abort(self, messages: list[Shard | None]) -> None:
+        self._clean(*_located(self.path))
+
+    def _clean(self, where: fs.FileSystem, base: str) -> None:
+        if where.get_file_info(f"{base}/{self.job}").type == fs.FileType.Directory:
+            where.delete_dir(f"{base}/{self.job}")
