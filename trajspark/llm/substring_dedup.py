@@ -118,8 +118,10 @@ def extended(document: np.ndarray, start: np.ndarray, partner: np.ndarray, at: n
     new = np.ones(len(order), bool)
     new[1:] = (document[1:] != document[:-1]) | (partner[1:] != partner[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(order)) - 1
-    return document[first], start[first], (start[last[: len(first)]] - start[first] + window), at[first], order[first]
+    last = (np.append(first[1:], len(order)) - 1)[: len(first)]
+    by_start = np.lexsort((start[first], document[first]))
+    first, last = first[by_start], last[by_start]
+    return document[first], start[first], start[last] - start[first] + window, at[first], order[first]
 
 
 _REPEATS = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("partner", pa.int64()), ("at", pa.int32())]))
@@ -152,7 +154,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
     shared.tune(spark)
     docs = shared.keyed(docs)
     found = shared.settle(docs.mapInArrow(lambda b: _seeds(b, window, seed), f"doc_id long, {shared.KEY} long, n_words long, whole string, seeds array<long>"), "seeds")
-    classes = found.groupBy("whole").agg(F.min(shared.KEY).alias("node"), F.min_by("doc_id", shared.KEY).alias("doc"), F.count("*").alias("copies"), F.min_by("seeds", shared.KEY).alias("seeds"))
+    classes = found.groupBy("whole").agg(F.min(shared.KEY).alias("node"), F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min_by("seeds", shared.KEY).alias("seeds"))
     classes, made = shared.settle(classes, "classes"), []
 
     planted = classes.select("node", "doc", F.explode("seeds").alias("seed"))
@@ -164,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFr
     made.append(windows := shared.settle(windows, "windows"))
     windows = windows.select("node", "doc", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("node", "doc", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     single = classes.where("copies = 1").select("node")
-    place = F.struct("node", "doc", "start")
+    place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "node", "start")
     mine = F.col("least.node") == F.col("node")
     other = lambda c: F.when(mine, F.col(f"most.{c}")).otherwise(F.col(f"least.{c}"))
     window_of = F.struct("start", other("node").alias("partner"), other("doc").alias("doc"), other("start").alias("at"))
