@@ -11,6 +11,8 @@ A discovery claims randomness, so each test's null hypothesis is structure (an e
 
 * chi-squared is at least as large as a source with the index of coincidence COINCIDENCE has it: with k symbols it exceeds chance by
   k * COINCIDENCE - 1 for each character (noncentral, normal approximation; its left tail is lighter, so the p-value is an upper bound);
+* in encodings of both cases that is asked of the letters without their case, as names in CamelCase spread ordinary letters over two alphabets; their evidence is joined with that of
+  how often capitals, small letters and digits take turns, which in ordinary names is at most CHANGES of all places (the sum of both deviations, over the root of two);
 * runs and serial correlation are at least STRAY standard deviations a square root of length off, as in padded, repeated or ascending strings.
 
 Short strings can't reject. False discoveries over the whole corpus are held to ALPHA by Benjamini and Hochberg's rule on p-values weighted by length
@@ -56,6 +58,7 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/", LETTERS),
     ("base64url", r"", _UPPER + _LOWER + _DIGITS + "-_", LETTERS),
 )
+MIXED, FOLDED, CHANGES = ("letters", "base62", "base64", "base64url"), 36, 0.42
 ALPHA = 0.01
 STRAY = 0.8
 BINS = 2000
@@ -104,6 +107,12 @@ def battery(candidates: DataFrame, value: str = "m") -> DataFrame:
     df = df.withColumn("chi_squared", F.col("_k") / F.col("n") * squares - F.col("n"))
     extra = F.col("n") * F.col("_structure")
     p_chi = _normal((F.col("chi_squared") - (F.col("_k") - 1 + extra)) / F.sqrt(2 * (F.col("_k") - 1 + 2 * extra)))
+    folded = F.expr(f"aggregate(array_distinct(split(lower({value}), '')), 0D, (a, c) -> a + pow(n - length(replace(lower({value}), c, '')), 2))")
+    more = F.col("n") * (FOLDED * LETTERS - 1)
+    even = (FOLDED - 1 + more - (FOLDED / F.col("n") * folded - F.col("n"))) / F.sqrt(2 * (FOLDED - 1 + 2 * more))
+    turns = F.expr("cast(size(filter(sequence(1, size(_x) - 1), i -> floor((_x[i] - 1) / 26) <> floor((_x[i - 1] - 1) / 26))) as double)")
+    turning = (turns - CHANGES * (F.col("n") - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (F.col("n") - 1))
+    p_chi = F.when(F.col("encoding").isin(*MIXED) & (F.col("n") > 1), _normal(-(even + turning) / 2**0.5)).otherwise(p_chi)
     runs = F.expr("1D + size(filter(sequence(1, size(_x) - 1), i -> (_x[i] > (_k + 1) / 2) <> (_x[i - 1] > (_k + 1) / 2)))")
     df = df.withColumn("runs_z", F.when(F.col("n") > 1, (runs - (F.col("n") + 1) / 2) / F.sqrt((F.col("n") - 1) / 4)).otherwise(0.0))
     df = df.withColumn("_mean", F.expr("aggregate(_x, 0D, (a, x) -> a + x) / n"))
