@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from trajspark.plans import catalogue, storage, transforms  # noqa: F401
+from trajspark.plans import catalogue, storage, structures, transforms  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
