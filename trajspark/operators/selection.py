@@ -31,7 +31,8 @@ def lift(rows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown."""
+    """A small table as Markdown; of a longer one the first `most` rows, and a line that says there are more."""
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = [rows.columns, ["---"] * len(rows.columns), *[[cell(v) for v in r] for r in rows.limit(most).collect()]]
-    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+    found = rows.limit(most + 1).collect()
+    lines = [rows.columns, ["---"] * len(rows.columns), *[[cell(v) for v in r] for r in found[:most]]]
+    return "\n".join(["| " + " | ".join(line) + " |" for line in lines] + [f"(more than {most} rows)"] * (len(found) > most))

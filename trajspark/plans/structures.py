@@ -6,10 +6,11 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..operators import compare, grid, quality, steps
+from ..functions import text
+from ..operators import compare, elements, grid, quality, sampling, steps
 from ..sources import files, merge, records
 from ..streaming import append, history
-from .catalogue import _CATEGORY, _STEPS, _TURNS, _compared, _turns, event_steps, query, table
+from .catalogue import _BOXES, _CATEGORY, _STEPS, _TURNS, _compared, _screens, _turns, event_steps, query, table
 from .storage import _KIND, _ROUTED, _routed
 
 # Boxes: lineitem, on six screens (10,000 a screen at sf0.01). Points: orders.
@@ -219,3 +220,47 @@ def coordinates_written(spark, sf_dir):
     """Counters of the write, which is below the share of skipped taps that fails it."""
     found = quality.write_coordinates(quality.with_coordinates(_targets(spark, sf_dir)), scratch.new_path(spark, "coordinates"))
     return spark.createDataFrame([(found["rows"], found["taps"], found["skipped"])], "rows long, taps long, skipped long")
+
+
+@query("SELECT CAST(300 * (event_id % 5) AS INTEGER) AS step, CASE event_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' WHEN 2 THEN 'fulltest' WHEN 3 THEN 'val' ELSE 'test' END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def checkpoints_read_off_names(spark, sf_dir):
+    """Files of several checkpoints and kinds, whose names say which."""
+    base, rows = scratch.new_path(spark, "evaluations"), table(spark, sf_dir, "events").select("event_id")
+    for i, name in enumerate(("runA_ckpt0.json", "runA_val_ckpt300.json", "runB_fulltest_ckpt600.json", "runB_val_ckpt900_native.json", "runA_ckpt1200.json")):
+        files.write_document(rows.where(f"event_id % 5 = {i}"), f"{base}/{name}")
+    found = files.with_file(spark.read.schema("event_id BIGINT").json(base))
+    return found.groupBy("step", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BOXES} SELECT c_custkey, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, CAST((id - 1) % 8 AS INTEGER) AS colour FROM customer LEFT JOIN e ON c_nationkey = s_nationkey AND id = c_custkey % 12")
+def mark_centre(spark, sf_dir):
+    """The centre and colour of the mark that a prediction names."""
+    rows = table(spark, sf_dir, "customer").join(_screens(spark, sf_dir), F.col("c_nationkey") == F.col("s_nationkey"), "left")
+    marks, wanted = elements.marks(F.col("nodes")), (F.col("c_custkey") % 12).cast("int")
+    at = elements.resolved(marks, wanted)
+    return rows.select("c_custkey", at["x"].alias("cx"), at["y"].alias("cy"), elements.by_id(marks, wanted)["colour"].alias("colour"))
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) WHERE k <= 2")
+def dry_run_rows(spark, sf_dir):
+    """The first two rows of each class, to look a transformation over before it runs."""
+    return sampling.first_of_each(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], 2).select("event_type", "event_id", "value")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '{"action": "tap", "x": ' || o_custkey || '}' WHEN 1 THEN '{"action": "wait"}' WHEN 5 THEN '{"action":"tap"}' END AS found FROM orders""")
+def flat_json_from_text(spark, sf_dir):
+    """The shortest object in what a model said: with prose and line ends around, two objects, a nested one that is cut, one without action, and one that is broken."""
+    k = F.col("o_orderkey") % 6
+    tap = F.concat(F.lit('{"action": "tap", "x": '), F.col("o_custkey").cast("string"), F.lit("}"))
+    said = F.when(k == 0, F.concat(F.lit("I tap:\n```json\n"), tap, F.lit("\n``` done"))).when(k == 1, F.concat(F.lit('{"action": "wait"} then '), tap)).when(k == 2, F.lit('{"action": "tap", "at": {"x": 1}}'))
+    said = said.when(k == 3, F.lit('{"type": "tap"}')).when(k == 4, F.lit('{"action": tap}')).otherwise(F.lit('}} {"action":"tap"}'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.first_json_flat(said).alias("found"))
+
+
+@query("SELECT * FROM (VALUES ('written', true), ('shuffled', false)) t(copy, sorted)")
+def order_in_split_files(spark, sf_dir):
+    """Whether files hold their rows in order: those of the writer, and those of a shuffled copy, which must not pass. Neighbours are compared, so no file is held together."""
+    rows, path, other = _routed(spark, sf_dir), scratch.new_path(spark, "steps"), scratch.new_path(spark, "shuffled")
+    files.write_steps(rows, path)
+    rows.repartition(2).sortWithinPartitions(F.xxhash64("episode_id", "step_index")).write.parquet(other)
+    return files.sorted_files(spark, path).select(F.lit("written").alias("copy"), "sorted").unionByName(files.sorted_files(spark, other).select(F.lit("shuffled").alias("copy"), "sorted"))

@@ -120,6 +120,26 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_document(rows: DataFrame, path: str) -> None:
+    """A table as one JSON-lines file of that very name; an existing one is replaced only once the new one is whole. For results that one task can write."""
+    spark = rows.sparkSession
+    jvm, part = spark.sparkContext._jvm, f"{path}.unfinished"
+    rows.coalesce(1).write.mode("overwrite").json(part)
+    at, to = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
+    where = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = next(f.getPath() for f in where.listStatus(at) if f.getPath().getName().startswith("part-"))
+    where.delete(to, True)
+    where.rename(written, to)
+    where.delete(at, True)
+
+
+def sorted_files(spark: SparkSession, path: str) -> DataFrame:
+    """sorted: whether every file under `path` holds its rows in the order of episode and step. Each row is held against the next one by its number in the file, in a join that spreads files over tasks."""
+    rows = spark.read.parquet(path).select(F.struct("episode_id", "step_index").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    next_ = rows.select(F.col("key").alias("next"), "file", (F.col("at") - 1).alias("at"))
+    return rows.join(next_, ["file", "at"]).agg(F.coalesce(F.bool_and(F.col("key") <= F.col("next")), F.lit(True)).alias("sorted"))
+
+
 def rewrite(rows: DataFrame, path: str, *order: str) -> None:
     """Rows as JSON lines in the order of the input, which `order` names."""
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)
