@@ -89,10 +89,10 @@ def evaluation_files(spark, sf_dir):
 
 @query("SELECT c_custkey AS episode_id, CASE WHEN c_custkey % 7 = 0 THEN 'test' WHEN c_custkey % 3 = 0 THEN 'train' WHEN c_custkey % 3 = 1 THEN 'val' ELSE 'test' END AS split FROM customer")
 def split_inversion(spark, sf_dir):
-    """{split: ids}, where ids of every seventh customer stand in `test` as well."""
+    """{split: ids} in parts of 500 customers, where ids of every seventh customer stand in `test` as well."""
     k = F.col("c_custkey")
     ids = lambda c: F.collect_list(F.when(c, k))
-    doc = table(spark, sf_dir, "customer").agg(ids(k % 3 == 0).alias("train"), ids(k % 3 == 1).alias("validation"), ids((k % 3 == 2) | (k % 7 == 0)).alias("test"))
+    doc = table(spark, sf_dir, "customer").groupBy(F.floor(k / 500)).agg(ids(k % 3 == 0).alias("train"), ids(k % 3 == 1).alias("validation"), ids((k % 3 == 2) | (k % 7 == 0)).alias("test")).select("train", "validation", "test")
     path = scratch.new_path(spark, "splits")
     doc.write.json(path)
     copy = scratch.new_path(spark, "provenance")
@@ -103,7 +103,7 @@ def split_inversion(spark, sf_dir):
 @query("SELECT c_custkey AS episode_id, c_custkey % 2 = 0 AS app_unseen, c_custkey % 5 = 0 AS task_unseen, false AS other FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0")
 def split_flags(spark, sf_dir):
     k = F.col("c_custkey")
-    doc = table(spark, sf_dir, "customer").agg(F.collect_list(F.when(k % 2 == 0, k)).alias("app_unseen"), F.collect_list(F.when(k % 5 == 0, k)).alias("task_unseen"))
+    doc = table(spark, sf_dir, "customer").groupBy(F.floor(k / 500)).agg(F.collect_list(F.when(k % 2 == 0, k)).alias("app_unseen"), F.collect_list(F.when(k % 5 == 0, k)).alias("task_unseen")).select("app_unseen", "task_unseen")
     flags = files.flag_maps(doc)
     wide = flags.select(F.col("episode_id").alias("id"), F.try_element_at("flags", F.lit("app_unseen")).alias("app_unseen"), F.try_element_at("flags", F.lit("task_unseen")).alias("task_unseen"))
     return files.first_found(files.flag_columns(wide.where("id < -1"), ["app_unseen", "task_unseen", "other"]), files.flag_columns(wide, ["app_unseen", "task_unseen", "other"]))
