@@ -335,8 +335,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, piece: int = 80, rate:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     size = lambda rows: rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = [(docs, items)]
-    if size(items) > MOST_BYTES:
+    groups, large = [(docs, items)], size(items) > MOST_BYTES
+    if large:
         length = F.octet_length(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
         groups = [(docs, items.where(length < piece)), (_suspects(docs, items.where(length >= piece), piece, rate, q), items.where(length >= piece))]
     out = None
@@ -346,6 +346,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, piece: int = 80, rate:
             own = some if parts == 1 else some.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(parts)) == part)
             shipped = spark.sparkContext.broadcast(cut([tuple(r) for r in own.orderBy("item_id", "text").collect()], piece, rate, q))
             one = rows.mapInArrow(_scan(shipped), "doc_id long, item_id long, start long, end long, edits long, n_pieces long, of_pieces long, n_items long")
+            if large:  # one part of the benchmark is held in memory at a time
+                one = shared.settle(one, "found")
+                shipped.destroy()
             out = one if out is None else out.union(one)
     return out
 
