@@ -167,6 +167,7 @@ def test_checksums_in_chunks():
     rng = random.Random(1)
     data = [b"", b"123456789", *[rng.randbytes(n) for n in (1, 255, 256, 257, 512, 3000)]]
     whole, ends = b"".join(data), np.cumsum([len(x) for x in data])
+    assert all(records.checksum(x) == ((plain(x) >> 15 | plain(x) << 17) + 0xA282EAD8) & 0xFFFFFFFF for x in (*data, b"xy" * 10_000))
     assert wire.crc32c(np.frombuffer(whole, np.uint8), ends - [len(x) for x in data], ends).tolist() == [plain(x) for x in data]
 
 

@@ -198,14 +198,14 @@ def _byte_table() -> np.ndarray:
     return n
 
 
-_TABLE = _byte_table()
+TABLE = _byte_table()
 
 
 def _advanced() -> list[list[int]]:
     """What _CHUNK zero bytes make of a state, for each value of each of its four bytes (the map is linear)."""
     state = np.uint32(1) << np.arange(32, dtype=np.uint32)
     for _ in range(_CHUNK):
-        state = state >> np.uint32(8) ^ _TABLE[state & 255]
+        state = state >> np.uint32(8) ^ TABLE[state & 255]
     out = []
     for byte in range(4):
         table = np.zeros(256, np.uint32)
@@ -235,7 +235,7 @@ def crc32c(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         for i in range(steps):
             if rows is some:
                 rows = some = some[length[some] > i]
-            state[rows] = state[rows] >> np.uint32(8) ^ _TABLE[(state[rows] ^ data[begin[rows] + i]) & 255]
+            state[rows] = state[rows] >> np.uint32(8) ^ TABLE[(state[rows] ^ data[begin[rows] + i]) & 255]
     out, states, (a, b, c, d) = [], state.tolist(), _ADVANCED
     for i in range(len(size)):
         own = states[first[i]] if chunks[i] else 0xFFFFFFFF
