@@ -157,3 +157,24 @@ def test_too_many_skipped(spark, tmp_path):
     found = spark.read.parquet(path).where("places.found").select("places.*").first()
     assert (found.x, found.y, found.x_at, found.y_at, found.x_places, found.y_places) == (0.29, 1.0, [24, 26, 27], [35], [1.0, 0.1, 0.01], [1.0])
     assert quality.write_coordinates(quality.with_coordinates(rows(0, 3)), str(tmp_path / "few"))["skipped"] == 3  # too few taps to tell
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_not_broadcast(spark):
+    """Points multiply where the planner doesn't count them, so a table that looks small would be broadcast."""
+    p = spark.range(50).select(F.lit("a").alias("screen"), F.col("id").alias("point_id"), (F.col("id") / 50).alias("x"), (F.col("id") / 50).alias("y"))
+    b = p.select("screen", F.col("point_id").alias("box_id"), F.array("x", "y", F.col("x") + 0.3, F.col("y") + 0.002).alias("bbox"), F.lit(True).alias("pressable"))
+    assert "BroadcastHashJoin" not in _plan(grid.meant_boxes(p, b, ["screen"]))
+    # a wide, flat box lies in few, flat cells: points far above it never meet it
+    cells = grid.with_cells(b.where("box_id = 10")).select("level", "across").distinct().collect()
+    assert [tuple(r) for r in cells] == [(1, 8)]
+
+
+def test_rows_of_sorted_files_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "o")
+    spark.range(100).select(F.col("id").alias("episode_id"), F.lit(0).alias("step_index")).coalesce(1).write.parquet(path)
+    found = files.sorted_files(spark, path)
+    assert "BroadcastHashJoin" not in _plan(found) and found.first().sorted

@@ -1,8 +1,9 @@
 """Points in boxes where a screen's boxes are rows of a table, however many: the rule of `elements.element_at` as equi-joins on grid cells.
 
-A box lies in cells of about its own size: at level n a cell's side is 2**-n, and a box goes to the finest level whose cells are at least as large as its longer
-side, so to at most four cells. A point looks for boxes in its one cell of each level in use. Candidates meet the exact test right in the join, and the best of each
-point is combined before it is shuffled, so no point's boxes are ever held together.
+A box lies in cells of about its own shape: at level n a cell's side is 2**-n, and in each direction a box goes to the finest level whose cells are at least as large as its
+side, so to at most four cells, and wide flat boxes meet only points at their height. A point looks for boxes in its one cell of each pair of levels that is in use. Candidates meet the exact test right in the join, and the best of each
+point is combined before it is shuffled, so no point's boxes are ever held together. Points multiply in explodes that the planner does not count, so joins
+with them are hinted to shuffle: it would broadcast them.
 
 Points in no box look for the nearest centre under a distance: first in the cell around them and its neighbours (of a grid of a quarter of the distance), then, where the nearest found
 could still be beaten, in the rings around those.
@@ -28,13 +29,12 @@ def _cell(v: Column, level: Column) -> Column:
 
 
 def with_cells(boxes: DataFrame) -> DataFrame:
-    """Each box once for every cell it lies in: adds level, cx, cy."""
+    """Each box once for every cell it lies in: adds level and across (of the width, of the height), cx, cy."""
     b = F.col("bbox")
-    longer = F.greatest(b[2] - b[0], b[3] - b[1])
-    fit = F.floor(-F.log2(F.greatest(longer, F.lit(2.0**-LAST))))
-    rows = boxes.withColumn("level", F.greatest(F.lit(FIRST), F.least(F.lit(LAST), fit)).cast("int"))
-    side = lambda a, z: F.sequence(_cell(a, F.col("level")), _cell(z, F.col("level")))
-    return rows.withColumn("cx", F.explode(side(b[0], b[2]))).withColumn("cy", F.explode(side(b[1], b[3])))
+    fit = lambda side: F.greatest(F.lit(FIRST), F.least(F.lit(LAST), F.floor(-F.log2(F.greatest(side, F.lit(2.0**-LAST)))))).cast("int")
+    rows = boxes.withColumns({"level": fit(b[2] - b[0]), "across": fit(b[3] - b[1])})
+    side = lambda a, z, level: F.sequence(_cell(a, F.col(level)), _cell(z, F.col(level)))
+    return rows.withColumn("cx", F.explode(side(b[0], b[2], "level"))).withColumn("cy", F.explode(side(b[1], b[3], "across")))
 
 
 def sound(bbox: Column) -> Column:
@@ -50,8 +50,9 @@ def boxes_at(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str
     """
     held = boxes.where(sound(F.col("bbox")) & (F.col("bbox")[0] <= F.col("bbox")[2]) & (F.col("bbox")[1] <= F.col("bbox")[3]))
     held = with_cells(held.select(*keys, "box_id", "bbox", F.when(F.coalesce("pressable", F.lit(False)), 0).otherwise(1).alias("p"), geometry.area(F.col("bbox")).alias("a")))
-    seen = points.where("x IS NOT NULL AND y IS NOT NULL").withColumn("level", F.explode(F.sequence(F.lit(FIRST), F.lit(LAST)))).withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("level"))})
-    met = seen.select(*keys, point_id, "x", "y", "level", "cx", "cy").join(held, [*keys, "level", "cx", "cy"]).where(geometry.contains(F.col("bbox"), F.col("x"), F.col("y")))
+    levels = held.select("level", "across").distinct()  # 225 rows at most
+    seen = points.where("x IS NOT NULL AND y IS NOT NULL").crossJoin(F.broadcast(levels)).withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("across"))})
+    met = seen.select(*keys, point_id, "x", "y", "level", "across", "cx", "cy").hint("merge").join(held.hint("merge"), [*keys, "level", "across", "cx", "cy"]).where(geometry.contains(F.col("bbox"), F.col("x"), F.col("y")))
     return met.groupBy(*keys, point_id).agg(F.min(F.struct("p", "a", "box_id")).alias("b")).select(*keys, point_id, F.col("b.box_id").alias("box_id"))
 
 
@@ -61,7 +62,7 @@ def _nearest(points: DataFrame, centres: DataFrame, keys: list[str], point_id: s
     around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in steps]))
     seen = points.select(*keys, point_id, "x", "y", around.alias("c")).select(*keys, point_id, "x", "y", "c.cx", "c.cy")
     d = F.sqrt(geometry.squared(F.col("mx"), F.col("my"), F.col("x"), F.col("y")))
-    return seen.join(centres, [*keys, "cx", "cy"]).withColumn("d", d).where(F.col("d") < near).groupBy(*keys, point_id).agg(F.min(F.struct("d", "box_id")).alias("b")).select(*keys, point_id, "b.d", "b.box_id")
+    return seen.hint("merge").join(centres.hint("merge"), [*keys, "cx", "cy"]).withColumn("d", d).where(F.col("d") < near).groupBy(*keys, point_id).agg(F.min(F.struct("d", "box_id")).alias("b")).select(*keys, point_id, "b.d", "b.box_id")
 
 
 def nearest_centres(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str = "point_id", near: float = NEAR) -> DataFrame:
@@ -72,7 +73,7 @@ def nearest_centres(points: DataFrame, boxes: DataFrame, keys: list[str], point_
     asked = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, point_id, "x", "y").withColumns({"cx": cell("x"), "cy": cell("y")})
     first = _nearest(asked, centres, keys, point_id, near, [0, 1])
     # what lies outside the first two rings is a whole cell away at least
-    open_ = asked.join(first.where(F.col("d") < near / _PART).select(*keys, point_id), [*keys, point_id], "left_anti")
+    open_ = asked.hint("merge").join(first.where(F.col("d") < near / _PART).select(*keys, point_id), [*keys, point_id], "left_anti")
     more = _nearest(open_, centres, keys, point_id, near, list(range(2, _PART + 2)))
     return first.unionByName(more).groupBy(*keys, point_id).agg(F.min(F.struct("d", "box_id")).alias("b")).select(*keys, point_id, F.col("b.box_id").alias("box_id"))
 
@@ -80,6 +81,6 @@ def nearest_centres(points: DataFrame, boxes: DataFrame, keys: list[str], point_
 def meant_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str = "point_id", near: float = NEAR) -> DataFrame:
     """Every point with the box it means (box_id, else null): `boxes_at`, else `nearest_centres`. (keys, point_id) is unique."""
     inside = boxes_at(points, boxes, keys, point_id)
-    outside = points.join(inside.select(*keys, point_id), [*keys, point_id], "left_anti")
+    outside = points.hint("merge").join(inside.select(*keys, point_id), [*keys, point_id], "left_anti")
     found = inside.unionByName(nearest_centres(outside, boxes, keys, point_id, near))
-    return points.join(found, [*keys, point_id], "left").select(*keys, point_id, "x", "y", "box_id")
+    return points.hint("merge").join(found, [*keys, point_id], "left").select(*keys, point_id, "x", "y", "box_id")
