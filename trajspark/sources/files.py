@@ -134,10 +134,10 @@ def write_document(rows: DataFrame, path: str) -> None:
 
 
 def sorted_files(spark: SparkSession, path: str) -> DataFrame:
-    """sorted: whether every file under `path` holds its rows in the order of episode and step. Each row is held against the next one by its number in the file, in a join that spreads files over tasks."""
+    """sorted: whether every file under `path` holds its rows in the order of episode and step. Each row is held against the next one by its number in the file, in a join that spreads files over tasks (and is hinted to: sorted files are so small for their rows that the planner would broadcast them)."""
     rows = spark.read.parquet(path).select(F.struct("episode_id", "step_index").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     next_ = rows.select(F.col("key").alias("next"), "file", (F.col("at") - 1).alias("at"))
-    return rows.join(next_, ["file", "at"]).agg(F.coalesce(F.bool_and(F.col("key") <= F.col("next")), F.lit(True)).alias("sorted"))
+    return rows.hint("merge").join(next_, ["file", "at"]).agg(F.coalesce(F.bool_and(F.col("key") <= F.col("next")), F.lit(True)).alias("sorted"))
 
 
 def rewrite(rows: DataFrame, path: str, *order: str) -> None:
