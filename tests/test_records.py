@@ -218,3 +218,18 @@ def test_writer(spark, tmp_path):
     whole.write_bytes(gzip.compress(bytes(raw)))
     with pytest.raises(Exception, match="wrong checksum"):
         read().collect()
+
+
+def test_frames_of_a_batch_equal_single_ones(monkeypatch):
+    import io
+
+    data = [b"", b"a", b"xy" * 700, bytes(range(256)) * 3]
+    whole = records.framed(data)
+    assert whole == b"".join(records.frame(x) for x in data)
+    monkeypatch.setattr(records, "BATCH", 3)
+    held = list(records._held(io.BytesIO(whole), "s"))
+    assert [len(h) for h in held] == [3, 1] and [b[:-4] for h in held for _, b in h] == data
+    for h in held:
+        records._checked(h, "s")
+    with pytest.raises(OSError, match="data"):
+        records._checked([(held[0][0][0], b"\0" + held[0][1][1])], "s")

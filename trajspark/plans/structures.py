@@ -138,8 +138,7 @@ def counted_while_written(spark, sf_dir):
 def _varint(v):
     """A non-negative integer under 2**21 in three bytes."""
     v = v.cast("long")
-    two = lambda c: F.lpad(F.hex(c), 2, "0")
-    return F.unhex(F.concat(two(v % 128 + 128), two(F.floor(v / 128) % 128 + 128), two(F.floor(v / 16384))))
+    return F.unhex(F.lpad(F.hex((v % 128 + 128) * 65536 + (F.shiftright(v, 7) % 128 + 128) * 256 + F.shiftright(v, 14)), 6, "0"))
 
 
 def _bytes_field(n, data):
@@ -153,11 +152,15 @@ def _int_field(n, v):
 def _order_records(spark, sf_dir):
     """Orders as episodes of one step: a line is a node with a box of its own row on the screen, and the tap goes to the row that the customer names."""
     i = lambda c: F.col(c).cast("long")
-    box = _bytes_field(2, F.concat(_int_field(1, F.lit(0)), _int_field(2, 100 * i("l_linenumber")), _int_field(3, F.lit(1000)), _int_field(4, 100 * i("l_linenumber") + 90)))
-    node = F.concat(_int_field(1, i("l_partkey") % 1000), box, _bytes_field(7, F.encode(F.concat(F.lit("Line é "), F.col("l_linenumber").cast("string")), "UTF-8")), _int_field(14, F.lit(1)), _int_field(23, F.lit(1)), _int_field(27, F.lit(2)))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", _bytes_field(1, node).alias("n")))), lambda x: x["n"]).alias("nodes"))
-    joined = F.aggregate("nodes", F.unhex(F.lit("")), lambda a, n: F.concat(a, n))
-    forest = _bytes_field(1, F.concat(_int_field(3, F.lit(1)), _bytes_field(11, joined)))
+    # a column for each depth: a field names its data twice and more, which would double with every depth in one expression
+    rows = table(spark, sf_dir, "lineitem").withColumn("_box", F.concat(_int_field(1, F.lit(0)), _int_field(2, 100 * i("l_linenumber")), _int_field(3, F.lit(1000)), _int_field(4, 100 * i("l_linenumber") + 90)))
+    rows = rows.withColumn("_text", F.encode(F.concat(F.lit("Line é "), F.col("l_linenumber").cast("string")), "UTF-8"))
+    rows = rows.withColumn("_node", F.concat(_int_field(1, i("l_partkey") % 1000), _bytes_field(2, F.col("_box")), _bytes_field(7, F.col("_text")), _int_field(14, F.lit(1)), _int_field(23, F.lit(1)), _int_field(27, F.lit(2))))
+    rows = rows.select("l_orderkey", "l_linenumber", _bytes_field(1, F.col("_node")).alias("n"))
+    lines = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "n"))), lambda x: x["n"]).alias("nodes"))
+    lines = lines.withColumn("_joined", F.aggregate("nodes", F.unhex(F.lit("")), lambda a, n: F.concat(a, n)))
+    lines = lines.withColumn("_tree", F.concat(_int_field(3, F.lit(1)), _bytes_field(11, F.col("_joined")))).select("l_orderkey", _bytes_field(1, F.col("_tree")).alias("_forest"))
+    forest = F.col("_forest")
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     lists = lambda b, n: F.struct(b.cast("array<binary>").alias("bytes_list"), F.array().cast("array<float>").alias("float_list"), n.cast("array<bigint>").alias("int64_list"))
     of = lambda *b: lists(F.array(*[F.encode(x, "UTF-8") if x is not None else forest for x in b]), F.array())

@@ -3,7 +3,7 @@
 A record is framed as its length (8 bytes, little-endian), a checksum (4), the data, and another checksum (4). gzip
 cannot be split, so a shard is a partition. Paths go through pyarrow's file systems (local, S3, HDFS, ...; a path with a scheme, or a local one), and may hold
 wildcards in their last part. Checksums are skipped unless the option `verify` is true; a wrong one and a record cut short are
-errors. The reader streams: a task holds one Arrow batch of BATCH records at a time, and decodes it as a whole (see `wire`).
+errors. The reader streams: a task holds one Arrow batch of BATCH records, or of BATCH_BYTES if that is less, at a time; it checks and decodes it as a whole (see `wire`).
 
 The writer takes the column `features`. Each task writes a shard to a folder of the job's own; the driver moves shards to their names when all have ended, and deletes that folder whether they
 ended or failed. So a failed or repeated task leaves nothing, and readers see whole shards only.
@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .. import schemas
 from . import wire
 
-BATCH = 16
+BATCH, BATCH_BYTES = 1024, 4 << 20
 SHORT = 16_384  # bytes up to which a checksum is worked out byte by byte, which is faster there
 SCHEMA = "features MAP<STRING, STRUCT<bytes_list:ARRAY<BINARY>, float_list:ARRAY<FLOAT>, int64_list:ARRAY<BIGINT>>>, shard STRING, position BIGINT"
 
@@ -48,6 +48,46 @@ def checksum(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def checksums(parts: list[bytes]) -> np.ndarray:
+    """`checksum` of each, worked out in step."""
+    end = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    crc = wire.crc32c(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], end[:-1]]).astype(np.int64), end)
+    return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(0xA282EAD8)
+
+
+def _held(stream, name: str) -> Iterator[list[tuple[bytes, bytes]]]:
+    """Frames (head and body) as they stand, a batch at a time."""
+    held, size = [], 0
+    while head := stream.read(12):
+        if len(head) < 12:
+            raise OSError(f"truncated header in {name}")
+        n = struct.unpack_from("<Q", head)[0]
+        body = stream.read(n + 4)
+        if len(body) < n + 4:
+            raise OSError(f"truncated data in {name}")
+        held.append((head, body))
+        size += n
+        if len(held) == BATCH or size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _checked(held: list[tuple[bytes, bytes]], name: str) -> None:
+    for what, parts in (("a header", [(h[:8], h[8:]) for h, _ in held]), ("data", [(b[:-4], b[-4:]) for _, b in held])):
+        said = np.frombuffer(b"".join(c for _, c in parts), "<u4")
+        if (said != checksums([p for p, _ in parts])).any():
+            raise OSError(f"wrong checksum of {what} in {name}")
+
+
+def framed(records: list[bytes]) -> bytes:
+    """Records as they stand in a shard, one after another; see `frame`."""
+    sizes = [struct.pack("<Q", len(r)) for r in records]
+    heads, bodies = checksums(sizes).astype("<u4"), checksums(records).astype("<u4")
+    return b"".join(x for z, h, r, b in zip(sizes, heads, records, bodies) for x in (z, h.tobytes(), r, b.tobytes()))
+
+
 def frames(stream, name: str = "shard", verify: bool = False) -> Iterator[bytes]:
     """The data of each frame."""
     while head := stream.read(12):
@@ -253,15 +293,13 @@ class RecordReader(DataSourceReader):
 
     def read(self, partition: InputPartition):
         where, path = _located(partition.value)
-        held, first = [], 0
+        first = 0
         with where.open_input_stream(path, compression=None) as raw, gzip.open(raw, "rb") as stream:
-            for data in frames(stream, partition.value, self.verify):
-                held.append(data)
-                if len(held) == BATCH:
-                    yield _batch(held, partition.value, first)
-                    held, first = [], first + BATCH
-        if held:
-            yield _batch(held, partition.value, first)
+            for held in _held(stream, partition.value):
+                if self.verify:
+                    _checked(held, partition.value)
+                yield _batch([body[:-4] for _, body in held], partition.value, first)
+                first += len(held)
 
 
 def _batch(records: list[bytes], shard: str, first: int) -> pa.RecordBatch:
@@ -293,6 +331,19 @@ def encoded(features: list[tuple[str, dict]]) -> bytes:
     return _field(1, b"".join(entries))
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The records of a batch, BATCH or about BATCH_BYTES at a time."""
+    held, size = [], 0
+    for row in batch.column("features"):
+        held.append(encoded(row.as_py() or []))
+        size += len(held[-1])
+        if len(held) == BATCH or size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class Shard(WriterCommitMessage):
     name: str
@@ -309,9 +360,9 @@ class RecordWriter(DataSourceArrowWriter):
         name, n = uuid.uuid4().hex, 0
         with where.open_output_stream(f"{base}/{self.job}/{name}", compression=None) as raw, gzip.open(raw, "wb") as stream:
             for batch in iterator:
-                for row in batch.column("features"):
-                    stream.write(frame(encoded(row.as_py() or [])))
-                    n += 1
+                for rows in _bounded(batch):
+                    stream.write(framed(rows))
+                    n += len(rows)
         return Shard(name, n)
 
     def commit(self, messages: list[Shard | None]) -> None:
