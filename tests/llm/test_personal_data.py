@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from trajspark.llm import personal_data as pd_
 
@@ -104,3 +105,32 @@ def test_other_spellings_are_added(spark, corpus):
         else:
             wrong += len(more)
     assert hit >= 20 and wrong <= 10, (hit, wrong)
+
+
+def test_trees_see_all_that_was_found(spark, monkeypatch):
+    """5,000 base spans and 6,000 proposals of a kind: every one of them is an example, and negatives of the corpus weigh what its base spans do."""
+    rows, settle = {}, pd_.shared.settle
+
+    def kept(df, name):
+        out = settle(df, name)
+        if name == "labelled":
+            rows["n"], rows["all"] = out.count(), out.groupBy("label").count().collect()
+            rows["weight"] = out.agg(F.sum("weight")).first()[0] if "weight" in out.columns else None
+        return out
+
+    monkeypatch.setattr(pd_.shared, "settle", kept)
+    i = F.col("id")
+    base = spark.range(5000).select(F.lit(1).alias("g"), F.concat_ws(".", F.lit("10"), F.floor(i / 250), i % 250, F.lit("7")).alias("m"))
+    proposed = spark.range(6000).select(F.lit(5).alias("g"), F.concat(F.lit("99 dot 1 dot 1 dot "), i).alias("m"))
+    found = base.union(proposed).select("*", F.lit("from ").alias("before"), F.lit(" to").alias("after"))
+    judge = pd_.fit(found, trees=2)
+    labels = {r.label: r["count"] for r in rows["all"]}
+    # each base span is rewritten in three ways and spoilt in three; shapes of rewritten ones are no negatives, these have others
+    assert labels[1.0] == 15_000 and labels[0.0] == 15_000 + 6_000 - shaped(), labels
+    assert abs(rows["weight"] - (30_000 + (6_000 - shaped()) * 5 / 6)) < 1 and judge.thresholds[1] is not None
+
+
+def shaped():
+    """How many of 6,000 proposals `99 dot 1 dot 1 dot N` have the shape of `10 dot A dot B dot 7`."""
+    shapes = {re.sub("[0-9]", "9", f"10 dot {i // 250} dot {i % 250} dot 7") for i in range(5000)}
+    return sum(re.sub("[0-9]", "9", f"99 dot 1 dot 1 dot {i}") in shapes for i in range(6000))

@@ -5,16 +5,18 @@ Built from SQL functions and MLlib's boosted trees. Base spans are the leftmost
 * Generators propose: for each kind a pattern of high recall finds what is written in other ways (`name (at) host dot org`, an address with `[.]`, card numbers with dots, telephone numbers without
   +). Proposals of all kinds may overlap; those that touch a base span are left out.
 * Boosted trees score them, from format (lengths, digits, groups, separators, check digit, first and last characters) and context (what stands before and after, and which words).
-* They are trained here, on a bounded sample: at most SAMPLE different base spans of a kind by a hash, each rewritten in the ways that generators look for and in its own context, are positive; equally many
+* They are trained here, on all that was found, spread over the cluster: all different base spans, each rewritten in the ways that generators look for and in its own context, are positive; all
   different proposals of the corpus, and base spans spoilt in the same ways (a wrong check digit, a part over 255, too many digits, no domain), are negative. A proposal of the corpus that has
-  the very shape of a rewritten base span may well be personal, and is in neither class.
-* Thresholds are calibrated on a quarter of that sample that the trees haven't seen: a kind's threshold is the least score that at most ALPHA of its negatives reach,
+  the very shape of a rewritten base span may well be personal, and is in neither class. Where a kind has more proposals than base spans, each weighs less, so that together they weigh what its base spans do.
+* Thresholds are calibrated on all of a quarter of these, by a hash, that the trees haven't seen: a kind's threshold is the least score that at most ALPHA of its negatives reach,
   counting one more than do. A kind with too few negatives to show that adds nothing, nor does a corpus with under LEAST base spans.
+* MLlib itself picks the (at most 31) values at which a feature may be split from some 10,000 rows; gains, trees and leaves come from all rows. It adds up tasks' sums in the order in which they end, so
+  of splits that are equally good up to rounding another may be taken in a rerun. Base spans don't depend on that.
 * Of chosen proposals that overlap in a chain the one with the best score stays (ties: the longer, then the earlier). It is listed beside the base spans, under its kind.
 
 Positions are code points, ends exclusive. Patterns never try a run of characters again from its middle, and spans are ordered by sorting, so very long texts take time in proportion
 to their length (times its logarithm). Defined cases: null counts as empty; empty texts have no spans and the hash of an empty list. Repeated
-rows give repeated results, and count once in the sample. Other columns are ignored. An empty table gives no rows.
+rows give repeated results, and count once in training. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +46,6 @@ LOOSE = (
 )
 _PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 BEFORE, AFTER = 24, 12
-SAMPLE = 2000
 LEAST = 40
 ALPHA = 0.01
 _BINS = 1000
@@ -145,30 +146,37 @@ def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.select("*", *[F.expr(e).alias(f"f_{k}") for k, e in near.items()]), [f"f_{k}" for k in near]
 
 
-def sample(found: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """kind, m, before, after, label, held_out of the labelled sample: bounded by `most` base spans and `most` proposals of a kind, which are at most seven and one rows each."""
+def examples(found: DataFrame) -> DataFrame:
+    """kind, m, before, after, label, held_out and weight of all labelled examples: what is made of every different base span, and every different proposal."""
     different = found.select("g", "m", "before", "after").distinct().withColumn("_h", F.xxhash64("m", "before", "after"))
-    parts = [different.where(F.col("g") == g).orderBy("_h", "m", "before", "after").limit(most) for g in range(2 * len(KINDS))]
-    base, proposed = parts[0], parts[len(KINDS)]
-    for b, p in zip(parts[1 : len(KINDS)], parts[len(KINDS) + 1 :]):
-        base, proposed = base.unionByName(b), proposed.unionByName(p)
+    different = shared.settle(different, "different")
+    sizes = {r.g: r["count"] for r in different.groupBy("g").count().collect()}  # two for each kind
     shape = F.when(F.col("kind") == 0, F.regexp_replace("m", "[A-Za-z0-9._%+-]+", "a")).otherwise(F.regexp_replace("m", "[0-9]", "9"))
-    made = base.withColumn("v", F.explode(_variants())).select(F.col("g").alias("kind"), F.col("v.m").alias("m"), "before", "after", F.col("v.label").alias("label"), "_h")
-    given = proposed.select((F.col("g") - len(KINDS)).alias("kind"), "m", "before", "after", F.lit(0).alias("label"), "_h")
-    known = made.where("label = 1").select("kind", shape.alias("shape")).distinct()
-    given = given.withColumn("shape", shape).join(known, ["kind", "shape"], "left_anti").drop("shape")
-    return made.where("m IS NOT NULL").unionByName(given).select("kind", "m", "before", "after", F.col("label").cast("double"), (F.pmod("_h", F.lit(4)) == 0).alias("held_out"))
+    shape = F.concat_ws(":", "kind", shape)
+    made = different.where(F.col("g") < len(KINDS)).withColumn("v", F.explode(_variants())).select(F.col("g").alias("kind"), F.col("v.m").alias("m"), "before", "after", F.col("v.label").alias("label"), "_h", F.lit(1.0).alias("weight"))
+    weight = F.element_at(F.array(*[F.lit(min(1.0, max(sizes.get(k, 0), LEAST) / sizes.get(k + len(KINDS), 1))) for k in range(len(KINDS))]), F.col("kind") + 1)
+    given = different.where(F.col("g") >= len(KINDS)).select((F.col("g") - len(KINDS)).alias("kind"), "m", "before", "after", F.lit(0).alias("label"), "_h").withColumn("weight", weight)
+    known = shared.settle(made.where("label = 1 AND m IS NOT NULL").select(shape.alias("shape")).distinct().withColumn("known", F.lit(True)), "shapes")
+    given = shared.matched(given.withColumn("shape", shape), "shape", known, "left").where("known IS NULL").drop("shape", "known")
+    rows = made.where("m IS NOT NULL").unionByName(given).select("kind", "m", "before", "after", F.col("label").cast("double"), (F.pmod("_h", F.lit(4)) == 0).alias("held_out"), "weight")
+    # dealt and ordered by what they say, so that a rerun trains on the same rows in the same order
+    order = ("kind", "m", "before", "after", "label")
+    rows, columns = features(rows.repartition(*order[:4]).sortWithinPartitions(*order))
+    out = shared.settle(VectorAssembler(inputCols=columns, outputCol="_features").transform(rows).select("kind", "label", "held_out", "weight", "_features"), "labelled")
+    shared.discard(different, known)
+    return out
 
 
 class Judge:
     """Boosted trees and each kind's threshold (None: nothing of that kind is chosen)."""
 
-    def __init__(self, model, columns: list[str], thresholds: dict[int, float | None]):
-        self.model, self.columns, self.thresholds = model, columns, thresholds
+    def __init__(self, model, thresholds: dict[int, float | None]):
+        self.model, self.thresholds = model, thresholds
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """Add `score` (0 to 1) to proposals (kind, m, before, after)."""
-        return _scored(self.model, *features(rows)).drop(*self.columns)
+        rows, columns = features(rows)
+        return _scored(self.model, rows, columns).drop(*columns)
 
     def chosen(self, rows: DataFrame) -> DataFrame:
         cut = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float("inf") if t is None else t)) for k, t in self.thresholds.items()])
@@ -180,19 +188,17 @@ def _scored(model, rows: DataFrame, columns: list[str]) -> DataFrame:
     return model.transform(put).withColumn("score", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def fit(found: DataFrame, most: int = SAMPLE, alpha: float = ALPHA, trees: int = 15) -> Judge | None:
-    """Train on what spans() has found; None if there are under LEAST base spans or only one label."""
-    labelled = shared.settle(sample(found, most).coalesce(1).sortWithinPartitions("kind", "m", "before", "after", "label"), "labelled")
+def fit(found: DataFrame, alpha: float = ALPHA, trees: int = 15) -> Judge | None:
+    """Train on all that spans() has found; None if there are under LEAST base spans or only one label."""
+    labelled = examples(found)
     counts = {(r.label, r.held_out): r["count"] for r in labelled.groupBy("label", "held_out").count().collect()}
     if min((counts.get(x, 0) for x in ((1.0, False), (0.0, False), (1.0, True), (0.0, True))), default=0) < LEAST // 4 or counts[1.0, False] + counts[1.0, True] < LEAST:
         shared.discard(labelled)
         return None
-    rows, columns = features(labelled)
-    rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(rows).select("kind", "label", "held_out", "_features")
-    trainer = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=trees, maxDepth=4, stepSize=0.3, minInstancesPerNode=5, checkpointInterval=-1, seed=1)
-    model = trainer.fit(rows.where("NOT held_out"))
+    trainer = GBTClassifier(labelCol="label", featuresCol="_features", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.3, minInstancesPerNode=5, checkpointInterval=-1, seed=1)
+    model = trainer.fit(labelled.where("NOT held_out"))
     score = F.floor(vector_to_array("probability")[1] * _BINS).cast("int")
-    seen = model.transform(rows.where("held_out AND label = 0")).groupBy("kind", score.alias("bin")).count().collect()  # at most BINS + 1 rows a kind
+    seen = model.transform(labelled.where("held_out AND label = 0")).groupBy("kind", score.alias("bin")).count().collect()  # at most BINS + 1 rows a kind
     thresholds: dict[int, float | None] = {}
     for k in range(len(KINDS)):
         bins = sorted(((r.bin, r["count"]) for r in seen if r.kind == k), reverse=True)
@@ -206,13 +212,13 @@ def fit(found: DataFrame, most: int = SAMPLE, alpha: float = ALPHA, trees: int =
             cut = 0
         thresholds[k] = max(cut, _BINS // 2) / _BINS if 1 <= alpha * (total + 1) and cut <= _BINS else None
     shared.discard(labelled)
-    return Judge(model, columns, thresholds)
+    return Judge(model, thresholds)
 
 
-def personal_data(docs: DataFrame, most: int = SAMPLE, alpha: float = ALPHA) -> DataFrame:
+def personal_data(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """For every row of `docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans), base and found (all spans: rank, start, end, kind), in order."""
     everyone, found = spans(docs)
-    judge = fit(found, most, alpha)
+    judge = fit(found, alpha)
     own = found.where(F.col("g") < len(KINDS)).select("_row", F.col("g").alias("rank"), "start", "end", F.lit(True).alias("base"))
     if judge:
         chosen = judge.chosen(found.where(F.col("g") >= len(KINDS)).withColumn("kind", F.col("g") - len(KINDS)))
