@@ -48,6 +48,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = shared.settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        read, docs = docs, shared.settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:  # the first stage reads the input
+            shared.discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)

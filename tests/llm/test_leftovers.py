@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import corpus_pipeline
 from trajspark.llm import ball_kmeans, jaccard_join, personal_data, shared, spelling_variants, substring_dedup
 from trajspark.scratch import shared_dir
 
@@ -25,3 +26,13 @@ def test_only_what_is_read(spark, name):
     found = run(shared.table(spark, SF, "documents"), shared.table(spark, SF, "embeddings"))
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == kept
     assert found.count() > 0
+
+
+def test_pipeline_keeps_the_last_stage_only(spark):
+    """A stage's table goes once the next one is written."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = corpus_pipeline.run(spark, SF)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left & {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES} == {"source-mix"}
+    assert found.count() > 0
