@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import LOWER, SEPARATOR, Words, pieces
+from .words import _MASKS, _ODD, _STRETCH, LOWER, SEPARATOR, Words, mix, pieces, stretch_hashes, texts
 
 _SCHEMA = "doc_id long, part int, offset long, n_tokens int, ids array<int>"
 
@@ -76,13 +77,73 @@ class TextEncoder:
         return np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([0, *map(len, ids)])
 
 
+class Pieces(Words):
+    """The pieces of lower-cased texts, as words. Eight zeros stand after their bytes."""
+
+    def __init__(self, data: bytes, offsets: np.ndarray):
+        self.data, self.offsets = np.frombuffer(data + bytes(8), np.uint8), offsets
+        kind = np.zeros(len(data) + 2, np.uint8)
+        kind[1:-1] = kinds(data)
+        self.kinds = kind[1:]
+        turn = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(_TURNS), np.uint8)
+        begins, stops = (turn & 1).view(bool), (turn >> 1).view(bool)
+        inner = offsets[1:-1]
+        inner = inner[(kind[inner] > 0) & (kind[inner + 1] > 0)]  # no piece reaches over the end of its text
+        begins[inner] = stops[inner] = True
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops)
+        self._count()
+
+    def hashes(self) -> np.ndarray:
+        """The same hashes as those of words, by a shorter way for pieces of up to 8 bytes."""
+        out = np.empty(len(self.starts), np.uint64)
+        at_byte = np.ndarray((len(self.data) - 7,), np.uint64, self.data.data, 0, (1,))
+        for i in range(0, len(out), _STRETCH):
+            starts, left = self.starts[i : i + _STRETCH], self.ends[i : i + _STRETCH] - self.starts[i : i + _STRETCH]
+            own = left.astype(np.uint64)
+            own *= _ODD
+            own ^= at_byte[starts] & _MASKS[np.minimum(left, 8)]
+            own = mix(own)
+            more = np.flatnonzero(left > 8)
+            own[more] = stretch_hashes(self.data, starts[more], starts[more] + left[more])
+            out[i : i + _STRETCH] = own
+        return out
+
+
+def kinds(data: bytes) -> np.ndarray:
+    """The kind of each byte of lower-cased texts: 0 separates, 1 a to z, 2 other ASCII, 4 and 5 the two bytes of a letter from U+00C0 to U+00FF, 3 anything else (apostrophes as well)."""
+    kind = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    if not data.isascii():
+        d = np.frombuffer(data, np.uint8)
+        lead = np.flatnonzero(d == 0xC3)
+        lead = lead[(d[lead + 1] != 0x97) & (d[lead + 1] != 0xB7)]
+        kind[lead], kind[lead + 1] = 4, 5
+    return kind
+
+
+def _turns(before: int, after: int) -> int:
+    """Whether a piece begins (1) and ends (2) between two kinds of bytes."""
+    cut = (before, after) in ((1, 2), (2, 1), (5, 2))
+    return bool(after and (cut or not before)) + 2 * bool(before and (cut or not after))
+
+
+_LOWER = LOWER.tobytes()
+_KINDS = bytes(0 if SEPARATOR[c] else 1 if 97 <= c <= 122 else 3 if c == 39 or c >= 128 or 65 <= c <= 90 else 2 for c in range(256))
+_TURNS = bytes(_turns(c >> 3, c & 7) for c in range(64)) + bytes(192)
+_LATIN_LOWER = re.compile(b"\xc3[\x80-\x96\x98-\x9e]")
+
+
 class WordEncoder:
-    """Ids of words, with a cache of at most `most` distinct words: a hash table with linear probing, kept at most half full."""
+    """Ids of words, with a cache of at most `most` distinct words: a hash table with linear probing, kept at most half full.
+
+    A slot holds a word's hash and its place: where its ids begin in `pool` (never at 0, so 0 is an empty slot), times 2**32, plus how many they are. A full cache keeps the words that
+    were met again since they came or since it was last full, if they are no more than half.
+    """
 
     def __init__(self, path: str, most: int = 1 << 19):
         self.tokenizer, self.most = tokenizer_of(path), most
         if not splits_into_pieces(self.tokenizer):
             raise ValueError(f"{path} does not split texts into pieces as expected")
+        self.letters = letters_only(self.tokenizer)
         self.slots = 1 << (2 * most - 1).bit_length()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether a token ends a run of letters: such runs can share a call, and be told apart after it.
@@ -91,8 +152,18 @@ class WordEncoder:
         self._clear()
 
     def _clear(self):
-        self.keys, self.entry, self.count = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32), 0
-        self.at, self.size, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        self.table, self.count = np.zeros((self.slots, 2), np.uint64), 0
+        self.pool, self.again, self.used = np.zeros(1, np.int32), np.zeros(1, bool), 1
+
+    def _prune(self) -> None:
+        """Forget the words that were not met again, or all if too many were."""
+        rows = self.table[self.table[:, 1] > 0]
+        rows = rows[self.again[rows[:, 1] >> _PLACE]]
+        pool = self.pool
+        self._clear()
+        if len(rows) <= self.most // 2:
+            size = (rows[:, 1] & _SIZE).astype(np.int64)
+            self._add(rows[:, 0], pool[_ranges(rows[:, 1] >> _PLACE, size)], size)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin and end."""
@@ -100,104 +171,104 @@ class WordEncoder:
 
     def cut(self, column: pa.Array) -> Words:
         """The pieces of texts, as words."""
-        w = Words(column)
-        d = w.data
-        if ((d[:-1] == 60) & (d[1:] == 124)).any():
-            return w
-        w.data = d = LOWER[d]
-        letter, plain = (d >= 97) & (d <= 122), (d < 128) & (d != 39) & ~SEPARATOR[d]
-        inner = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
-        inner[1:] |= _latin(d)[:-1] & (plain & ~letter)[2:]
-        inner[w.offsets[1:-1][(w.offsets[1:-1] > 0) & (w.offsets[1:-1] < len(d))] - 1] = False
-        inner = np.flatnonzero(inner) + 1
-        w.starts, w.ends = np.concatenate([w.starts, inner]), np.concatenate([w.ends, inner])
-        w.starts.sort(kind="stable")
-        w.ends.sort(kind="stable")
-        w.first = np.searchsorted(w.starts, w.offsets)
-        return w
+        data, offsets = texts(column)
+        data = data.tobytes()
+        return Words(column) if b"<|" in data else Pieces(data.translate(_LOWER), offsets)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each key, or -1."""
-        found, open_, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        """The place of each key, or 0."""
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        rows = self.table.take(slot, axis=0)
+        place = rows[:, 1].copy()
+        open_ = np.flatnonzero(rows[:, 0] != keys)
         while len(open_):
-            entry = self.entry[slot]
-            here = self.keys[slot] == keys[open_]
-            found[open_[here]] = entry[here]
-            on = ~here & (entry >= 0)
-            open_, slot = open_[on], (slot[on] + 1) & (self.slots - 1)
-        return found
-
-    def _insert(self, keys: np.ndarray) -> None:
-        """Give new distinct keys the next entries."""
-        entry, slot = np.arange(self.count, self.count + len(keys), dtype=np.int32), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+            open_ = open_[place[open_] > 0]
+            slot[open_] = (slot[open_] + 1) & (self.slots - 1)
+            rows = self.table.take(slot[open_], axis=0)
+            place[open_] = rows[:, 1]
+            open_ = open_[rows[:, 0] != keys[open_]]
+        return place
+
+    def _add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """New distinct keys, and their ids one after another."""
+        if self.used + len(flat) >= len(self.pool):  # the last word's place is within, even without ids
+            more = self.used + 2 * len(flat)
+            self.pool, self.again = np.concatenate([self.pool[: self.used], np.zeros(more, np.int32)]), np.concatenate([self.again[: self.used], np.zeros(more, bool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        place = ((self.used + np.cumsum(size) - size).astype(np.uint64) << _PLACE) | size.astype(np.uint64)
+        self.used += len(flat)
         self.count += len(keys)
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(keys):
-            free = self.entry[slot] < 0
-            self.entry[slot[free]] = entry[free]
-            mine = self.entry[slot] == entry
-            self.keys[slot[mine]] = keys[mine]
-            keys, entry, slot = keys[~mine], entry[~mine], (slot[~mine] + 1) & (self.slots - 1)
+            free = self.table[slot, 1] == 0
+            self.table[slot[free], 0] = keys[free]
+            mine = free & (self.table[slot, 0] == keys)  # of keys that want one slot the last written has it
+            self.table[slot[mine], 1] = place[mine]
+            keys, place, slot = keys[~mine], place[~mine], (slot[~mine] + 1) & (self.slots - 1)
 
     def _learn(self, w: Words, keys: np.ndarray, example: np.ndarray) -> None:
         """Encode new words, given by a place of each in w."""
         starts, ends = w.starts[example], w.ends[example]
-        d = w.data
-        odd = np.concatenate([[0], np.cumsum(~(((d >= 97) & (d <= 122)) | _latin_bytes(d)))])
+        raw = w.data.tobytes()
+        odd = np.cumsum(((w.kinds if isinstance(w, Pieces) else kinds(raw)) & 6) == 2, dtype=np.int32)
+        odd = np.concatenate([[0], odd])
         run = odd[ends] == odd[starts]
         keys = np.concatenate([keys[run], keys[~run]])
-        raw = d.tobytes()
         flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
         if run.any():
             together = b" ".join([raw[a:b] for a, b in zip(starts[run].tolist(), ends[run].tolist())])
-            flat = np.array(self.tokenizer.encode_batch_fast([together.decode()], add_special_tokens=False)[0].ids, np.int32)
+            together = _LATIN_LOWER.sub(lambda m: bytes([0xC3, m[0][1] + 32]), together)
+            flat = np.array(self.letters.encode_batch_fast([together.decode()], add_special_tokens=False)[0].ids, np.int32)
             size = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
         if not run.all():
             rest = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[~run].tolist(), ends[~run].tolist())], add_special_tokens=False)]
             size = np.concatenate([size, np.fromiter(map(len, rest), np.int64, len(rest))])
             flat = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.int32)])
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        if self.count + len(keys) > len(self.at):
-            self.at, self.size = (np.concatenate([x[: self.count], np.zeros(self.count + 2 * len(keys), np.int64)]) for x in (self.at, self.size))
-        self.at[self.count : self.count + len(keys)] = self.used + np.cumsum(size) - size
-        self.size[self.count : self.count + len(keys)] = size
-        self.used += len(flat)
-        self._insert(keys)
+        self._add(keys, flat, size)
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents of w, and where each document's begin and end."""
         hashes = w.hashes()
-        entry = self._find(hashes)
-        new = np.flatnonzero(entry < 0)
+        place = self._find(hashes)
+        new = np.flatnonzero(place == 0)
+        self.again[place >> _PLACE] = True
         if len(new):
             keys, example = np.unique(hashes[new], return_index=True)
             if self.count + len(keys) > self.most:
-                self._clear()
-                keys, new = np.unique(hashes, return_index=True)
-                example = np.arange(len(keys))
+                self._prune()
+                place = self._find(hashes)
+                new = np.flatnonzero(place == 0)
+                keys, example = np.unique(hashes[new], return_index=True)
+            if self.count + len(keys) > self.most:
+                new = np.arange(len(hashes))
+                keys, example = np.unique(hashes, return_index=True)
                 if len(keys) > self.most:
                     self.slots = 1 << (4 * len(keys)).bit_length()
                     self.most = self.slots // 2
-                    self._clear()
+                self._clear()
             self._learn(w, keys, new[example])
-            entry = self._find(hashes)
-        at, size = self.at[entry], self.size[entry]
-        until = np.concatenate([[0], np.cumsum(size)])
-        return self.pool[np.repeat(at - until[:-1], size) + np.arange(until[-1])], until[w.first]
+            place[new] = self._find(hashes[new])
+        size = (place & _SIZE).astype(np.int64)
+        return self.pool[_ranges(place >> _PLACE, size)], np.concatenate([[0], np.cumsum(size)])[w.first]
+
+
+#: A place holds where ids begin above this bit, and how many they are below.
+_PLACE, _SIZE = np.uint64(32), np.uint64((1 << 32) - 1)
+
 
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers from at[i] to at[i] + size[i] - 1, for each i."""
+    until = np.cumsum(size)
+    return np.repeat(at.astype(np.int64) - until + size, size) + np.arange(until[-1] if len(until) else 0)
 
-def _latin(d: np.ndarray) -> np.ndarray:
-    """Where a letter of two bytes from U+00C0 to U+00FF ends, for every byte but the first."""
-    return (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] != 0x97) & (d[1:] != 0xB7)
 
+def letters_only(tokenizer):
+    """The tokenizer's model for lower-case letters a to z and U+00DF to U+00FF with single spaces between runs: of such a text its normalizer changes nothing, and its pattern makes each run a word."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
-def _latin_bytes(d: np.ndarray) -> np.ndarray:
-    """The bytes of these letters."""
-    out = np.zeros(len(d), bool)
-    out[1:] = _latin(d)
-    out[:-1] |= out[1:]
-    return out
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+    return bare
 
 
 _encoders: dict[str, WordEncoder | TextEncoder] = {}
