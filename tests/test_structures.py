@@ -178,3 +178,16 @@ def test_rows_of_sorted_files_are_not_broadcast(spark, tmp_path):
     spark.range(100).select(F.col("id").alias("episode_id"), F.lit(0).alias("step_index")).coalesce(1).write.parquet(path)
     found = files.sorted_files(spark, path)
     assert "BroadcastHashJoin" not in _plan(found) and found.first().sorted
+
+
+def test_boxes_take_part_by_rank(spark, monkeypatch):
+    """Where the best boxes hold every point, the others are not joined; in strata the result is the same."""
+    names, settle = [], grid.shared.settle
+    monkeypatch.setattr(grid.shared, "settle", lambda df, name: (names.append(name), settle(df, name))[1])
+    monkeypatch.setattr(grid, "FEW", 4)
+    b = spark.createDataFrame([("a", i, [0.0, 0.0, 0.1 + i / 100, 0.1 + i / 100], i % 2 == 0) for i in range(64)], "screen string, box_id int, bbox array<double>, pressable boolean")
+    p = spark.createDataFrame([("a", i, x, x) for i, x in enumerate([0.05, 0.05, 0.2, 0.71])], "screen string, point_id int, x double, y double")
+    got = {r.point_id: r.box_id for r in grid.meant_boxes(p, b, ["screen"]).collect()}
+    assert got == {0: 0, 1: 0, 2: 10, 3: 62} and 2 <= names.count("inside") <= 3
+    names.clear()
+    assert {r.point_id: r.box_id for r in grid.meant_boxes(p.where("point_id < 2"), b, ["screen"]).collect()} == {0: 0, 1: 0} and names.count("inside") == 1

@@ -5,6 +5,9 @@ side, so to at most four cells, and wide flat boxes meet only points at their he
 point is combined before it is shuffled, so no point's boxes are ever held together. Points multiply in explodes that the planner does not count, so joins
 with them are hinted to shuffle: it would broadcast them.
 
+Boxes take part in strata by rank (the one to press, then the smallest, then the least box_id), each _GROWTH times the one before: what a stratum finds is better than all that the next ones hold, so its points are done, and
+no stratum is read once no point is left. Points of one place are one. So work follows the points and not all pairs of points and boxes, where boxes lie thickly.
+
 Points in no box look for the nearest centre under a distance: first in the cell around them and its neighbours (of a grid of a quarter of the distance), then, where the nearest found
 could still be beaten, in the rings around those.
 
@@ -13,15 +16,20 @@ Boxes whose sides are null or not finite hold nothing and are near nothing; a po
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..llm import shared
 from .elements import NEAR
 
 #: Levels in use: cells from 4 down to 2**-12 on a side. Larger boxes lie in more than four cells of the first level.
 FIRST, LAST = -2, 12
 _PART = 4
+#: Boxes of the first stratum at most, how the strata grow, and rows of the sample that says where they end.
+FEW, _GROWTH, _SAMPLE = 2_000_000, 4, 20_000
 
 
 def _cell(v: Column, level: Column) -> Column:
@@ -43,17 +51,67 @@ def sound(bbox: Column) -> Column:
     return (F.size(bbox) >= 4) & finite(bbox[0]) & finite(bbox[1]) & finite(bbox[2]) & finite(bbox[3])
 
 
+def _held(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The boxes that can hold a point, with their rank (p, a, box_id)."""
+    rows = boxes.where(sound(F.col("bbox")) & (F.col("bbox")[0] <= F.col("bbox")[2]) & (F.col("bbox")[1] <= F.col("bbox")[3]))
+    return rows.select(*keys, "box_id", "bbox", F.when(F.coalesce("pressable", F.lit(False)), 0).otherwise(1).alias("p"), geometry.area(F.col("bbox")).alias("a"))
+
+
+def _strata(held: DataFrame) -> list[DataFrame]:
+    """The boxes by rank. Ends are read off a sample: they say how much a stratum holds, and nothing else."""
+    n = held.count()
+    if n <= FEW:
+        return [held]
+    rank = F.struct("p", "a", "box_id")
+    sample = sorted(tuple(r) for r in held.select("p", "a", "box_id").sample(min(1.0, _SAMPLE / n), seed=7).where("box_id IS NOT NULL").collect())
+    ends, share = [], 1.0
+    while n * share > FEW and sample:
+        share /= _GROWTH
+        ends.insert(0, F.struct(*[F.lit(v).alias(c) for c, v in zip(("p", "a", "box_id"), sample[int(len(sample) * share)])]))
+    cuts = [None, *ends, None]
+    inside = lambda lo, hi: functools.reduce(lambda x, y: x & y, [c for c in (lo is not None and rank >= lo, hi is not None and rank < hi) if c is not False])
+    return [held.where(inside(lo, hi)) for lo, hi in zip(cuts, cuts[1:])] if ends else [held]
+
+
+def _inside(places: DataFrame, held: DataFrame, keys: list[str], place: list[str], few: bool) -> DataFrame:
+    """The best box that holds a place: place, box_id. `few`: boxes that share no cell with a place are left out before they are shuffled."""
+    held = with_cells(held)
+    levels = held.select("level", "across").distinct()  # 225 rows at most
+    seen = places.crossJoin(F.broadcast(levels)).withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("across"))})
+    if few:
+        area = f"{shared.OWN}area"
+        cell = F.xxhash64(*keys, "level", "across", "cx", "cy").alias(area)
+        held = shared.may_contain(held.select("*", cell), area, shared.settle(seen.select(cell).distinct(), "areas")).drop(area)
+    met = seen.hint("merge").join(held.hint("merge"), [*keys, "level", "across", "cx", "cy"]).where(geometry.contains(F.col("bbox"), F.col("x"), F.col("y")))
+    return met.groupBy(*place).agg(F.min(F.struct("p", "a", "box_id")).alias("b")).select(*place, F.col("b.box_id").alias("box_id"))
+
+
+def _placed(points: DataFrame, keys: list[str]) -> DataFrame:
+    """The places of the points, each once."""
+    return shared.settle(points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y").distinct(), "places")
+
+
+def _held_places(places: DataFrame, boxes: DataFrame, keys: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """What the strata find (keys, x, y, box_id), one settled table each, and the places that are in no box; `places` is discarded."""
+    place, found = [*keys, "x", "y"], []
+    for stratum in _strata(_held(boxes, keys)):
+        found.append(shared.settle(_inside(places, stratum, keys, place, bool(found)), "inside"))
+        rest = shared.settle(places.hint("merge").join(found[-1].select(*place), place, "left_anti"), "places")
+        shared.discard(places)
+        places = rest
+        if places.isEmpty():
+            break
+    return found, places
+
+
 def boxes_at(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str = "point_id") -> DataFrame:
     """point_id and the box a point means (its box_id, for points in a box only): of those that contain it the one to press, then the smallest, then the least box_id.
 
     `points`: keys, point_id, x, y. `boxes`: keys, box_id, bbox, pressable.
     """
-    held = boxes.where(sound(F.col("bbox")) & (F.col("bbox")[0] <= F.col("bbox")[2]) & (F.col("bbox")[1] <= F.col("bbox")[3]))
-    held = with_cells(held.select(*keys, "box_id", "bbox", F.when(F.coalesce("pressable", F.lit(False)), 0).otherwise(1).alias("p"), geometry.area(F.col("bbox")).alias("a")))
-    levels = held.select("level", "across").distinct()  # 225 rows at most
-    seen = points.where("x IS NOT NULL AND y IS NOT NULL").crossJoin(F.broadcast(levels)).withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("across"))})
-    met = seen.select(*keys, point_id, "x", "y", "level", "across", "cx", "cy").hint("merge").join(held.hint("merge"), [*keys, "level", "across", "cx", "cy"]).where(geometry.contains(F.col("bbox"), F.col("x"), F.col("y")))
-    return met.groupBy(*keys, point_id).agg(F.min(F.struct("p", "a", "box_id")).alias("b")).select(*keys, point_id, F.col("b.box_id").alias("box_id"))
+    found, rest = _held_places(_placed(points, keys), boxes, keys)
+    shared.discard(rest)
+    return points.hint("merge").join(functools.reduce(DataFrame.union, found), [*keys, "x", "y"]).select(*keys, point_id, "box_id")
 
 
 def _nearest(points: DataFrame, centres: DataFrame, keys: list[str], point_id: str, near: float, rings: list[int]) -> DataFrame:
@@ -71,6 +129,11 @@ def nearest_centres(points: DataFrame, boxes: DataFrame, keys: list[str], point_
     mid = geometry.centre(F.col("bbox"))
     centres = boxes.where(sound(F.col("bbox"))).select(*keys, "box_id", mid["x"].alias("mx"), mid["y"].alias("my")).withColumns({"cx": cell("mx"), "cy": cell("my")})
     asked = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, point_id, "x", "y").withColumns({"cx": cell("x"), "cy": cell("y")})
+    # centres in no wide cell (larger than the distance) at or beside a point's are near none
+    wide, area = (lambda v: F.floor(F.col(v) / (1.25 * near))), f"{shared.OWN}area"
+    beside = F.explode(F.array(*[F.struct((wide("x") + i).alias("gx"), (wide("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    areas = shared.settle(asked.select(*keys, beside.alias("g")).select(F.xxhash64(*keys, "g.gx", "g.gy").alias(area)).distinct(), "areas")
+    centres = shared.may_contain(centres.withColumn(area, F.xxhash64(*keys, wide("mx"), wide("my"))), area, areas).drop(area)
     first = _nearest(asked, centres, keys, point_id, near, [0, 1])
     # what lies outside the first two rings is a whole cell away at least
     open_ = asked.hint("merge").join(first.where(F.col("d") < near / _PART).select(*keys, point_id), [*keys, point_id], "left_anti")
@@ -80,7 +143,12 @@ def nearest_centres(points: DataFrame, boxes: DataFrame, keys: list[str], point_
 
 def meant_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str = "point_id", near: float = NEAR) -> DataFrame:
     """Every point with the box it means (box_id, else null): `boxes_at`, else `nearest_centres`. (keys, point_id) is unique."""
-    inside = boxes_at(points, boxes, keys, point_id)
-    outside = points.hint("merge").join(inside.select(*keys, point_id), [*keys, point_id], "left_anti")
-    found = inside.unionByName(nearest_centres(outside, boxes, keys, point_id, near))
-    return points.hint("merge").join(found, [*keys, point_id], "left").select(*keys, point_id, "x", "y", "box_id")
+    found, rest = _held_places(_placed(points, keys), boxes, keys)
+    place = [*keys, "x", "y"]
+    if not rest.isEmpty():
+        which = f"{shared.OWN}place"
+        asked = rest.withColumn(which, F.struct("x", "y"))
+        nearest = nearest_centres(asked, boxes, keys, which, near)
+        found.append(shared.settle(nearest.select(*keys, f"{which}.x", f"{which}.y", "box_id"), "nearest"))
+    shared.discard(rest)
+    return points.hint("merge").join(functools.reduce(DataFrame.union, found), place, "left").select(*keys, point_id, "x", "y", "box_id")
