@@ -191,3 +191,13 @@ def test_boxes_take_part_by_rank(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 10, 3: 62} and 2 <= names.count("inside") <= 3
     names.clear()
     assert {r.point_id: r.box_id for r in grid.meant_boxes(p.where("point_id < 2"), b, ["screen"]).collect()} == {0: 0, 1: 0} and names.count("inside") == 1
+
+
+def test_shards_grow_with_the_rows(spark, monkeypatch):
+    """As many shards as the join has tasks, not a fixed number."""
+    from trajspark.plans import structures
+
+    monkeypatch.setattr(structures, "_order_records", lambda spark, sf: made(spark, sf).repartition(7))
+    made = lambda spark, sf: spark.range(70).selectExpr("map('episode_id', named_struct('bytes_list', cast(array() AS array<binary>), 'float_list', cast(array() AS array<float>), 'int64_list', array(id))) AS features")
+    found = structures._order_shards(spark, "")
+    assert found.select("shard").distinct().count() == 7 and found.count() == 70

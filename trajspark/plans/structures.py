@@ -173,7 +173,8 @@ def _order_records(spark, sf_dir):
 def _order_shards(spark, sf_dir):
     spark.dataSource.register(records.RecordSource)
     path = scratch.new_path(spark, "shards")
-    _order_records(spark, sf_dir).repartition(4).write.format("feature_records").mode("append").save(path)
+    # a shard for each task of the join, so their number grows with the rows
+    _order_records(spark, sf_dir).write.format("feature_records").mode("append").save(path)
     return spark.read.format("feature_records").option("path", path).option("verify", "true").load()
 
 

@@ -29,6 +29,7 @@ from .. import schemas
 from . import wire
 
 BATCH, BATCH_BYTES = 1024, 4 << 20
+LEVEL = 1  # of gzip, whose default of 9 is the slowest
 SHORT = 16_384  # bytes up to which a checksum is worked out byte by byte, which is faster there
 SCHEMA = "features MAP<STRING, STRUCT<bytes_list:ARRAY<BINARY>, float_list:ARRAY<FLOAT>, int64_list:ARRAY<BIGINT>>>, shard STRING, position BIGINT"
 
@@ -358,7 +359,7 @@ class RecordWriter(DataSourceArrowWriter):
         where, base = _located(self.path)
         where.create_dir(f"{base}/{self.job}", recursive=True)
         name, n = uuid.uuid4().hex, 0
-        with where.open_output_stream(f"{base}/{self.job}/{name}", compression=None) as raw, gzip.open(raw, "wb") as stream:
+        with where.open_output_stream(f"{base}/{self.job}/{name}", compression=None) as raw, gzip.open(raw, "wb", compresslevel=LEVEL) as stream:
             for batch in iterator:
                 for rows in _bounded(batch):
                     stream.write(framed(rows))
